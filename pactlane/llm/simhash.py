@@ -66,7 +66,8 @@ def hamming_links(classes: DataFrame, fp: str = "fp", max_bits: int = 3) -> Data
         "u", "seg", F.col("half").bitwiseOR(F.col("bit")).alias("key"), (F.col("bit") == 0).alias("same")
     )
     apart = F.col("u").bitwiseXOR(F.col("v"))
-    found = probe.join(index, ["seg", "key"]).where(
+    # Neither side may be broadcast: the ball makes 33 rows of one, which size estimates do not see.
+    found = probe.join(index.hint("merge"), ["seg", "key"]).where(
         (F.col("u") != F.col("v")) & (~F.col("same") | (F.col("u") < F.col("v"))) & (F.bit_count(apart) <= max_bits)
         # A pair that the first half already finds is left to it.
         & ((F.col("seg") == 0) | (F.bit_count(F.shiftrightunsigned(apart, 32)) > 1))
