@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op5_packing
 from .simhash import op7_simhash
+from .token_output import op4_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_output": op4_token_output,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
 }
