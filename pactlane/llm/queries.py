@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import OP9_SQL, op9_decontamination
 from .packing import op5_packing
 from .simhash import op7_simhash
 from .token_output import op4_token_output
@@ -14,6 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
+    "op9_decontamination": op9_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontamination": OP9_SQL,
+}
