@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import OP9_SQL, op9_decontamination
 from .packing import op5_packing
+from .quality_gam import op1_quality
+from .rules_forest import op2_rules
 from .simhash import op7_simhash
 from .token_output import op4_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_rules": op2_rules,
     "op4_token_output": op4_token_output,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
