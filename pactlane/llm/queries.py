@@ -12,10 +12,12 @@ from .quality_gam import op1_quality
 from .rules_forest import op2_rules
 from .simhash import op7_simhash
 from .token_output import op4_token_output
+from .toxicity_cnn import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_rules": op2_rules,
+    "op3_toxicity": op3_toxicity,
     "op4_token_output": op4_token_output,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,

@@ -12,6 +12,12 @@ WINDOW = 5
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+#: ASCII that is neither a letter nor a digit.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 #: Classes of a byte; every byte has one.
 OTHER, BLANK, UPPER, DIGIT, STOP, BANG, PIPE, SYMBOL, WIDE, LATER = range(10)
 _CLASS = np.zeros(256, np.uint8)
@@ -43,8 +49,8 @@ def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.DictionaryArray:
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
 
 
-def words(texts: pa.Array) -> Words:
-    """Words between ASCII white space of every text; null: none."""
+def words(texts: pa.Array, separator: np.ndarray | None = None, lower: bool = False) -> Words:
+    """Words between ASCII white space (or the bytes separator marks) of every text, A-Z lower-cased on request; null: none."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     if texts.offset:
         texts = pa.array(texts.to_pylist(), pa.string())
@@ -52,7 +58,9 @@ def words(texts: pa.Array) -> Words:
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[: n + 1].astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw is not None and offsets[-1] else np.zeros(0, np.uint8)
-    blank = _BLANK[data]
+    if lower:
+        data = _LOWER[data]
+    blank = (_BLANK if separator is None else separator)[data]
     inside = ~blank
     first = inside.copy()
     first[1:] &= blank[:-1] if len(data) else first[1:]
