@@ -14,6 +14,7 @@ from .rules_forest import op2_rules
 from .simhash import op7_simhash
 from .token_output import op4_token_output
 from .toxicity_cnn import op3_toxicity
+from .warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
@@ -24,8 +25,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_decontamination": OP9_SQL,
+    "op10_warc": OP10_SQL,
 }
