@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import OP9_SQL, op9_decontamination
 from .langid_kernel import op8_language
+from .lattice_lm import op6_lattice_lm
 from .packing import op5_packing
 from .quality_gam import op1_quality
 from .rules_forest import op2_rules
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_output": op4_token_output,
     "op5_packing": op5_packing,
+    "op6_lattice_lm": op6_lattice_lm,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
