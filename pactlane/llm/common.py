@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -104,3 +104,19 @@ def lookup(big: DataFrame, small: DataFrame, key: str, hot: str, how: str = "inn
 def semi_by_id(big: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     """Rows of big whose key is in ids; ids are broadcast only when counted as few."""
     return big.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, key, "left_semi")
+
+
+def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """Rows of docs, with all their columns, for whose texts verdict gives True; nothing is shuffled."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            yield b.filter(pa.array(np.asarray(verdict(b.column(text_col)), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of docs whose key is not among ids (nulls stay); ids are broadcast only when counted as few."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, semi_by_id, table, written
+from .common import BROADCAST_ROWS, semi_by_id, table, without_ids, written
 
 #: Upper size (distinct shingles) of the size partitions; larger items are in a partition of their own size's power of two.
 SMALLEST_PARTITION = 8
@@ -90,6 +90,12 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs without those that hold an item to the threshold, all columns kept; rows with a null id stay."""
+    found = written(contained(docs, items, id_col, text_col, words=words, threshold=threshold).select(id_col).distinct(), "contaminated")
+    return without_ids(docs, found, id_col)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_mod, ship, slices, table
+from .common import hash_mod, keep_rows, ship, slices, table
 from .labelled import MAX_PER_CLASS, sample
 from .textstats import FEATURES, features
 
@@ -169,6 +169,12 @@ def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: st
     return out.withColumnRenamed("id", id_col)
 
 
+def drop_poor(docs: DataFrame, model: Additive, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """docs without the rows that score below least, all columns kept. Null and empty texts are judged on all-zero features."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text_col, lambda texts: shared.value.score(features(texts)) >= least)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))

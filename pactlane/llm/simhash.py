@@ -8,10 +8,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_PARTS, lookup, ship, slices, table, written
+from .common import HOT_PARTS, lookup, semi_by_id, ship, slices, table, without_ids, written
 from .graph import components
 
 SEED = 42
@@ -97,6 +97,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "fp", "component_id", "n_class")
 
 
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
+    """docs with one document of each near-duplicate group, that of the least id, and all its columns.
+
+    Documents are told apart by id, so rows with a null id stay. Rows that share an id are one
+    document and one of them stays (the least text). The ids to drop are broadcast only when counted
+    as few; only rows of shared ids are ever grouped.
+    """
+    groups = written(near_duplicates(docs, id_col, text_col, words, max_bits).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "component_id"), "groups")
+    leaders = groups.groupBy("_id").agg(F.bool_or(F.col("_id") == F.col("component_id")).alias("leads"), F.count("*").alias("rows"))
+    state = written(leaders.where("not leads or rows > 1"), "decisions")
+    kept = without_ids(docs, state.where("not leads").select(F.col("_id").alias(id_col)), id_col)
+    shared = state.where("leads and rows > 1").select(F.col("_id").alias(id_col))
+    n = shared.count()
+    if not n:
+        return kept
+    order = Window.partitionBy(id_col).orderBy(text_col)
+    again = semi_by_id(kept, shared, id_col, n).withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*kept.columns)
+    return without_ids(kept, shared, id_col).unionByName(again)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_class")
