@@ -68,9 +68,10 @@ def words(texts: pa.Array, separator: np.ndarray | None = None, lower: bool = Fa
     first[starts_doc] = inside[starts_doc]
     at = np.flatnonzero(first)
     if len(at):
-        kept = np.cumsum(inside, dtype=np.int64)
-        begin = kept[at] - 1
-        coded = _strings(data[inside], np.diff(np.concatenate([begin, kept[-1:]])))
+        last = inside
+        last[:-1] &= blank[1:] | first[1:]
+        lengths = np.flatnonzero(last) - at + 1
+        coded = _strings(data[~blank], lengths)
         code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     else:
         code, distinct = np.zeros(0, np.int64), pa.array([], pa.string())
@@ -117,9 +118,9 @@ def duplicate_lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
     edge[1:][feed] = True
     at = np.flatnonzero(edge)
     begin, end = at[:-1], at[1:]
-    solid = np.concatenate([[0], np.cumsum(~w.blank, dtype=np.int64)])
+    solid = np.concatenate([[0], np.cumsum(~w.blank, dtype=np.int32)])
     wordy = solid[end] > solid[begin]
-    kept = np.concatenate([[0], np.cumsum(~feed, dtype=np.int64)])
+    kept = np.concatenate([[0], np.cumsum(~feed, dtype=np.int32)])
     code = _strings(w.data[~feed], kept[end] - kept[begin]).indices.to_numpy().astype(np.int64)[wordy]
     doc = (np.searchsorted(w.offsets, begin, side="right") - 1)[wordy]
     lines = np.bincount(doc, minlength=w.n).astype(np.int64)

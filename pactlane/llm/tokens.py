@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Segments whose ids a worker keeps; the cache starts anew beyond it, so its memory is bounded.
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 400_000
 
 #: New segments that are encoded as one joined text.
 JOINED = 256
