@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -61,16 +62,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pactlane_path = path
+    _LEFT.append(path)
     return out
 
 
+#: Tables of written() that may still be read; those on a shared file system go when the driver ends.
+_LEFT: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for path in _LEFT:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by written() that nothing reads any more."""
     path = getattr(df, "_pactlane_path", None)
     if path is None:
         return
     if path.startswith("file:"):
-        shutil.rmtree(path[5:].replace("//", "/", 1) if path.startswith("file://") else path[5:], ignore_errors=True)
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
         return
     jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -113,7 +113,10 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     if not n:
         return kept
     order = Window.partitionBy(id_col).orderBy(text_col)
-    again = semi_by_id(kept, shared, id_col, n).withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*kept.columns)
+    turn = "turn"
+    while turn in kept.columns:
+        turn += "_"
+    again = semi_by_id(kept, shared, id_col, n).withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(*(F.col(f"`{c}`") for c in kept.columns))
     return without_ids(kept, shared, id_col).unionByName(again)
 
 

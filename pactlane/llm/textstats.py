@@ -79,6 +79,15 @@ def words(texts: pa.Array, separator: np.ndarray | None = None, lower: bool = Fa
     return Words(n, data, offsets, blank, code, doc, distinct, np.bincount(doc, minlength=n).astype(np.int64))
 
 
+def _window_keys(owner: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of each window and its text."""
+    key = owner.astype(np.uint64)
+    for x in ids:
+        key = (key ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
 def repeated_words(w: Words, size: int = WINDOW) -> np.ndarray:
     """Words of each text that lie in a window of size words found twice or more in it (the first included)."""
     total = len(w.code)
@@ -87,10 +96,7 @@ def repeated_words(w: Words, size: int = WINDOW) -> np.ndarray:
     at = np.flatnonzero(w.doc[: total - size + 1] == w.doc[size - 1 :])
     ids = [w.code[at + j] for j in range(size)]
     owner = w.doc[at]
-    key = owner.astype(np.uint64)
-    for x in ids:
-        key = (key ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
+    key = _window_keys(owner, ids)
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     a, b = order[1:][same], order[:-1][same]
