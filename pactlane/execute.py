@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -129,11 +130,11 @@ class Engine:
             return False
 
     def tables_of(self, query: str) -> list[str]:
-        """Names of the tables that a query reads, from Catalyst's parser, else from the text."""
+        """Names of the tables that a query reads (not those it defines by WITH), from Catalyst's parser, else from the text."""
         try:
-            import re
-
-            return sorted({x.replace(" ", "").split(",")[-1].strip("`") for x in re.findall(r"UnresolvedRelation \[([^\]]+)\]", parsed(self.spark, query).toString())})
+            tree = parsed(self.spark, query).toString()
+            own = {x.strip() for names in re.findall(r"\bCTE \[([^\]]*)\]", tree) for x in names.split(",")}
+            return sorted({x.replace(" ", "").split(",")[-1].strip("`") for x in re.findall(r"UnresolvedRelation \[([^\]]+)\]", tree)} - own)
         except Exception:
             try:
                 return sqltext.tables_by_text(query)
