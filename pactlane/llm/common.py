@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -128,12 +129,14 @@ def semi_by_id(big: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFram
 def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """Rows of docs, with all their columns, for whose texts verdict gives True; nothing is shuffled."""
     ship(docs.sparkSession)
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(docs.schema)])  # any name may hold dots or come twice
+    text = f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            yield b.filter(pa.array(np.asarray(verdict(b.column(text_col)), bool)))
+        for b in slices(batches, text):
+            yield b.filter(pa.array(np.asarray(verdict(b.column(text)), bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -232,7 +232,7 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     least = _hot_from(counts, hot_words)
     vocab = load(vocabulary_path)
     hot = counts.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
-    warm = hot.slice(0, WARM_WORDS)
+    warm = counts.where(F.col("c") >= _hot_from(counts, WARM_WORDS)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     logp = log_probabilities(vocab, np.zeros(vocab.size), 0)
     for _ in range(WARM_ROUNDS):
         logp = log_probabilities(vocab, expectations(vocab, logp, warm.column("word").to_pylist(), warm.column("c").to_numpy().astype(np.float64)), texts)
