@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder all executors share (spark.checkpoint.dir); set only where unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pactlane-")
         spark.sparkContext.setCheckpointDir(base)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Segments whose ids a worker keeps; the cache starts anew beyond it, so its memory is bounded.
+#: Segments whose ids a worker keeps; beyond it those met once are forgotten, so its memory is bounded.
 CACHE_SEGMENTS = 400_000
 
 #: New segments that are encoded as one joined text.
@@ -77,6 +77,32 @@ class Encoder:
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
+
+    def _forget(self) -> None:
+        """Keep only the segments that were met in a second slice; most are met once. All go if too many are left."""
+        kept = {s: i for s, i in self.known.items() if self.again[i]}
+        if 2 * len(kept) > CACHE_SEGMENTS:
+            self._reset()
+            return
+        at = np.fromiter(kept.values(), np.int64, len(kept))
+        lengths = self.length[at]
+        ends = np.cumsum(lengths)
+        flat = self.pool[np.repeat(self.start[at] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
+        self._reset()
+        self._add(list(kept), flat, lengths)
+
+    def _add(self, new: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.known)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while first + len(new) > len(self.start):
+            self.start, self.length, self.again = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length, self.again))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.start[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
+        self.length[first : first + len(new)] = lengths
+        self.used += len(flat)
+        self.known.update(zip(new, range(first, first + len(new))))
 
     def _encoded(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments, length of each). Segments go in joined by a separator that is a piece of its own.
@@ -105,8 +131,8 @@ class Encoder:
 
     def _places(self, segments: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_SEGMENTS:
-            self._reset()
-        known = self.known
+            self._forget()
+        known, before = self.known, len(self.known)
         fresh = [s for s in segments if s not in known]
         mark = self.separator.strip(" ")
         alone = [s for s in fresh if mark in s] if mark else []
@@ -118,18 +144,10 @@ class Encoder:
                 flat, lengths = np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
             else:
                 flat, lengths = self._encoded(new)
-            first = len(known)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while first + len(new) > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.start[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
-            self.length[first : first + len(new)] = lengths
-            self.used += len(flat)
-            known.update(zip(new, range(first, first + len(new))))
-        return np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
+            self._add(new, flat, lengths)
+        places = np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
+        self.again[places[places < before]] = True
+        return places
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each ended by end_id; offsets of the texts). Null: empty."""
