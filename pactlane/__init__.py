@@ -3,7 +3,7 @@
 from .api import ValidationRunner, validate_data
 from .config import ValidationConfig
 from .contracts import Contract
-from .execute import Engine
+from .execute import BaseExecutor, Engine, SparkExecutor
 from .operators.filters import FilterCondition
 from .operators.guard import SQLSecurityError
 from .result import CheckResult, ValidationResult
@@ -11,6 +11,6 @@ from .sources.adapters import BaseAdapter, DataSourceMapper, MultiSourceAdapter,
 from .streaming.microbatch import validate_stream
 
 __all__ = [
-    "BaseAdapter", "CheckResult", "Contract", "DataSourceMapper", "Engine", "FilterCondition", "MultiSourceAdapter", "SQLSecurityError", "SparkAdapter",
+    "BaseAdapter", "BaseExecutor", "CheckResult", "Contract", "DataSourceMapper", "Engine", "FilterCondition", "MultiSourceAdapter", "SQLSecurityError", "SparkAdapter", "SparkExecutor",
     "ValidationConfig", "ValidationResult", "ValidationRunner", "create_adapter", "get_adapter", "validate_data", "validate_stream",
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
@@ -77,6 +78,40 @@ def key_query(table: str, columns: Sequence[str], counted: str) -> str:
     return f"SELECT {counted} FROM (SELECT {keys}, COUNT(*) AS `__n` FROM {casts.name(table)} GROUP BY {keys})"
 
 
+class BaseExecutor(ABC):
+    """Base of executors for custom engines: made for an adapter, gives a result a check."""
+
+    def __init__(self, adapter: BaseAdapter) -> None:
+        self.adapter = adapter
+
+    @abstractmethod
+    def run_single_check(self, check: ir.Check) -> CheckResult: ...
+
+    def run_batch_checks(self, checks: Sequence[ir.Check]) -> list[CheckResult]:
+        return [self.run_single_check(c) for c in checks]
+
+    def cleanup(self) -> None:
+        """Let go of what the executor holds."""
+
+
+class SparkExecutor(BaseExecutor):
+    """The engine behind the executor interface, over the tables of one adapter."""
+
+    def run_batch_checks(self, checks: Sequence[ir.Check]) -> list[CheckResult]:
+        """Results in the order of the checks; row and key checks share their scans."""
+        tables = list(dict.fromkeys(c.schema for c in checks))
+        self.engine = Engine(MultiSourceAdapter(dict.fromkeys(tables, self.adapter)), self.adapter.use_try_cast, self.adapter.max_failed_rows)
+        found = {(r.metadata.get("check_path"), r.check_name): r for r in self.engine.run({t: [c for c in checks if c.schema == t] for t in tables}, count_rows=False)}
+        return [found[c.path, c.name] for c in checks]
+
+    def run_single_check(self, check: ir.Check) -> CheckResult:
+        return self.run_batch_checks([check])[0]
+
+    def cleanup(self) -> None:
+        if hasattr(self, "engine"):
+            self.engine.cleanup()
+
+
 class _Compiled:
     """A check on its way: how it is computed and what came out."""
 
@@ -91,6 +126,7 @@ class _Compiled:
         self.tables: list[str] = [check.schema] if check.schema else []
         self.value: Any = None
         self.error: Exception | None = None
+        self.result: CheckResult | None = None
         self.ms = 0.0
         self.done = False
 
@@ -267,7 +303,7 @@ class Engine:
         c.ms, c.done = (time.perf_counter() - started) * 1000, True
 
     def _custom(self, c: _Compiled) -> None:
-        """A registered executor: callable(spark, df, check) that returns a value or (value, failing rows)."""
+        """A registered executor: a BaseExecutor class, or callable(spark, df, check) that returns a value or (value, failing rows)."""
         adapter: BaseAdapter = self.source.get_adapter(c.check.schema) or self.source
         engine = c.check.node.engine
         if engine == "sql" and engine not in adapter.get_executors():
@@ -277,7 +313,15 @@ class Engine:
             c.value = row[0][0] if row else None
             return
         own = adapter if engine in adapter.get_executors() else self.source
-        got = own.executor(engine)(self.spark, self.spark.table(casts.name(c.check.schema)) if c.check.schema in self.schemas else None, c.check)
+        registered = own.executor(engine)
+        if isinstance(registered, type) and issubclass(registered, BaseExecutor):
+            made = registered(adapter)
+            try:
+                c.result = made.run_single_check(c.check)
+            finally:
+                made.cleanup()
+            return
+        got = registered(self.spark, self.spark.table(casts.name(c.check.schema)) if c.check.schema in self.schemas else None, c.check)
         c.value, c.rows = got if isinstance(got, tuple) else (got, None)
 
     def _together(self, work: Callable[[], None], found: list[_Compiled]) -> None:
@@ -324,6 +368,9 @@ class Engine:
 
     def _result(self, c: _Compiled) -> CheckResult:
         check, meta = c.check, self._metadata(c)
+        if c.result is not None and not c.error:
+            c.result.metadata = {**meta, **c.result.metadata}
+            return c.result
         try:
             if c.error:
                 raise c.error

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class SQLSecurityError(Exception):
@@ -98,3 +98,8 @@ def sanitize_identifier(identifier: str) -> str:
     if not _IDENTIFIER.fullmatch(identifier):
         raise SQLSecurityError(f"{identifier!r} is no plain identifier", "invalid_identifier", identifier)
     return identifier
+
+
+def to_table(spark: SparkSession, identifier: str) -> DataFrame:
+    """The table of a plain identifier."""
+    return spark.table(".".join(f"`{part}`" for part in sanitize_identifier(identifier).split(".")))

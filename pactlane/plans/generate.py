@@ -81,7 +81,8 @@ def _listed(schema: str, column: str | None, entry: dict[str, Any], path: str, l
     level = "Column" if column else "Table"
     name = entry.get("name") or (None if kind == "library" else entry.get("id")) or f"{column or schema}_{(entry.get('metric') if kind == 'library' else None) or entry.get('metric') or entry.get('dimension') or 'check'}"
     if kind == "library":
-        ref, node = f"{''.join(x[:1].upper() + x[1:] for x in [str(entry.get('metric'))])}{level}CheckReference", _metric(entry, column)
+        metric = str(entry.get("metric"))
+        ref, node = f"{metric[:1].upper()}{metric[1:]}{level * (metric == 'duplicateValues')}CheckReference", _metric(entry, column)
     elif kind == "sql":
         ref, node = f"SQL{level}CheckReference", ir.SqlQuery(entry["query"]) if entry.get("query") else ir.Unusable("the check has no query")
     elif kind == "custom":

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.casts import literal
 from .functions.casts import name as quoted
 
 STATUSES = ("FAILED", "ERROR", "PASSED")
@@ -106,10 +107,6 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.to_json(quoted(c)) for c in odd}) if odd else df
 
 
-def _by_position(df: DataFrame) -> list:
-    return [F.col(quoted(c)) for c in df.columns]
-
-
 class ValidationResult:
     """Everything a run found; its methods for reports return the result itself."""
 
@@ -144,6 +141,11 @@ class ValidationResult:
     def contract_data(self) -> dict[str, Any]:
         return self.contract.contract_data
 
+    def cleanup(self) -> None:
+        """Drop the views of the run; failing rows can't be selected afterwards."""
+        if self._engine is not None:
+            self._engine.cleanup()
+
     @staticmethod
     def is_cross_table(check: CheckResult) -> bool:
         return len(check.tables) > 1
@@ -225,20 +227,33 @@ class ValidationResult:
     def get_consolidated_output_dfs(self, checks: Sequence[str] | None = None) -> dict[str, DataFrame]:
         """One frame a set of tables and columns: each distinct failing row with the names of all checks it fails.
 
-        Grouping runs on the cluster; only whether a frame has rows is asked of it.
+        Row predicates of one table are told apart in one scan; grouping runs on the cluster; only
+        whether a frame has rows is asked of it.
         """
         groups: dict[tuple[str, frozenset[str]], list[DataFrame]] = {}
+        scans: dict[str, list[tuple[str, str]]] = {}
+
+        def add(tables: str, df: DataFrame) -> None:
+            groups.setdefault((tables, frozenset(df.columns) - {"check_id"}), []).append(df)
+
         for _, c in self._outputs(checks):
-            if c.status != "FAILED" or not c.failed_rows.columns or c.failed_rows.isEmpty():
+            if c.status != "FAILED":
                 continue
-            tables = ", ".join(sorted(c.tables))
-            groups.setdefault((tables, frozenset(c.failed_rows.columns)), []).append(comparable(c.failed_rows).withColumn("check_id", F.lit(c.check_name)))
+            if c.where and self._engine is not None and self._engine.max_failed_rows < 0:
+                if c.failed_rows_count or c.actual_value:
+                    scans.setdefault(c.where[0], []).append((c.check_name, c.where[1]))
+            elif c.failed_rows.columns and not c.failed_rows.isEmpty():
+                add(", ".join(sorted(c.tables)), comparable(c.failed_rows).withColumn("check_id", F.array(F.lit(c.check_name))))
+        for table, found in scans.items():
+            names = ", ".join(f"CASE WHEN {where} THEN {literal(name)} END" for name, where in found)
+            any_ = " OR ".join(f"({where})" for _, where in found)
+            add(table, comparable(self._engine.spark.sql(f"SELECT *, ARRAY_COMPACT(ARRAY({names})) AS check_id FROM {quoted(table)} WHERE {any_}")))
         merged: dict[str, list[DataFrame]] = {}
         for (tables, _), frames in groups.items():
             rows = reduce(lambda a, b: a.unionByName(b), frames)
             data = [quoted(c) for c in rows.columns if c != "check_id"]
-            one = rows.groupBy(*data).agg(F.array_join(F.array_sort(F.collect_set("check_id")), ", ").alias("check_ids")).withColumn("tables_in_query", F.lit(tables))
-            merged.setdefault(tables or "unknown", []).append(one)
+            ids = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("check_id")))), ", ")
+            merged.setdefault(tables or "unknown", []).append(rows.groupBy(*data).agg(ids.alias("check_ids")).withColumn("tables_in_query", F.lit(tables)))
         return {k if len(found) == 1 else f"{k}__{i}": df for k, found in sorted(merged.items()) for i, df in enumerate(found, 1)}
 
     def check_rows(self) -> list[dict[str, Any]]:

@@ -164,21 +164,21 @@ class MultiSourceAdapter(BaseAdapter):
         return {n: a.get_total_rows(n, max_rows) if hasattr(a, "get_total_rows") else 0 for n, a in self._adapters.items()}
 
     def test_connections(self, tables_by_schema: Mapping[str, Sequence[str]]) -> dict[str, dict[str, str]]:
-        """For each schema its own table and every other that its checks name: connected, skipped, unregistered, or an error text."""
+        """For each schema its own table and every other that its checks name: success, skipped, or an error text."""
         out: dict[str, dict[str, str]] = {}
         for name, adapter in self._adapters.items():
             problem = adapter.test_connection(name)
-            found = out[name] = {name: problem or "connected"}
+            found = out[name] = {name: problem or "success"}
             if problem:
                 warnings.warn(f"table {name} can't be read: {problem}", stacklevel=2)
             for other in tables_by_schema.get(name, ()):
                 if other == name:
                     continue
                 if other in self._adapters:
-                    found[other] = "skipped"
+                    found[other] = f"skipped: {other} is a schema of its own"
                     continue
                 problem = adapter.test_connection(other)
-                found[other] = problem or "connected"
+                found[other] = f"error: {problem}" if problem else "success"
                 warnings.warn(f"checks of {name} use {other}, which the contract doesn't declare" + (f" and which can't be read: {problem}" if problem else ""), stacklevel=2)
         return out
 

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from pactlane import MultiSourceAdapter, SparkAdapter, ValidationConfig, validate_data
+from pactlane import BaseExecutor, CheckResult, MultiSourceAdapter, SparkAdapter, SparkExecutor, ValidationConfig, validate_data
 from pactlane.execute import Engine
 from pactlane.operators.compare import expectation, holds
 
@@ -230,3 +230,33 @@ def test_pandas_mixed_column(spark):
 def test_names_of_a_with_clause_are_no_tables(spark):
     engine = Engine(MultiSourceAdapter({"t": SparkAdapter(spark, {"t": spark.range(1)})}))
     assert engine.tables_of("WITH x AS (SELECT * FROM t), y AS (SELECT 1 AS a) SELECT COUNT(*) FROM x JOIN y ON 1 = 1 WHERE id IN (SELECT id FROM db.other)") == ["other", "t"]
+
+
+def test_executor_interface(spark):
+    class Mine(BaseExecutor):
+        ended = 0
+
+        def run_single_check(self, check):
+            n = self.adapter.table(check.schema).count()
+            return CheckResult(check.name, "PASSED" if n == 3 else "FAILED", "counted", n, 3)
+
+        def cleanup(self):
+            Mine.ended += 1
+
+    contract = make(schema=[{"name": "t", "properties": [{"name": "id", "required": True, "unique": True}], "quality": [{"type": "custom", "engine": "mine", "implementation": "x", "name": "m", "mustBe": 3}]}])
+    adapter = SparkAdapter(spark, {"t": spark.range(3)}, executors={"mine": Mine})
+    r = validate_data(contract, adapter=adapter)
+    assert r.passed and not r.has_errors and Mine.ended == 1 and r.check_results[-1].metadata["schema_name"] == "t"
+    found = contract.get_check_references_by_schema()["t"]
+    executor = SparkExecutor(adapter)
+    assert [c.check_name for c in executor.run_batch_checks(found)] == [c.name for c in found]
+    assert executor.run_single_check(found[1]).status == "PASSED"
+    executor.cleanup()
+    r.cleanup()
+
+
+def test_tables_by_identifier(spark):
+    from pactlane.operators.guard import to_table
+
+    spark.range(2).createOrReplaceTempView("plain_name")
+    assert to_table(spark, "plain_name").count() == 2
