@@ -50,9 +50,10 @@ def _writer(where: pa.NativeFile, kind: pa.DataType) -> pq.ParquetWriter:
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     """Encode every whole text, append end_id, and write the ids in ascending id order, one file a task.
 
-    Rows are range-partitioned by id and sorted within partitions, so file order is id order. A task
-    writes under a name of its own attempt and renames when complete: a repeated or speculative task
-    leaves one whole file. Only a line a file (names and counts) comes to the driver, for the offsets.
+    Rows are range-partitioned by id and sorted within partitions, so file order is id order. Files
+    carry a mark of the task's attempt, are renamed when complete, and only those of the attempts that
+    counted are listed in the result. Only a line a file (names and counts) comes to the driver, for
+    the offsets.
 
     A null text is empty (its end id alone). Null ids come first; equal ids are ordered by text.
     An empty table writes no rows. Other columns are left out.
@@ -66,7 +67,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         enc, at = encoder(tokenizer_path), TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name, tmp = f"tokens-{at.partitionId():06d}.parquet", f"{base}/_tmp-{at.partitionId():06d}-{uuid.uuid4().hex}"
+        mark = uuid.uuid4().hex[:12]
+        name, tmp = f"tokens-{at.partitionId():06d}-{mark}.parquet", f"{base}/_tmp-{at.partitionId():06d}-{mark}"
         ids, tokens, held, n_docs, start = [], [], 0, 0, 0
         with store.open_output_stream(tmp) as out, _writer(out, kind) as writer:
 

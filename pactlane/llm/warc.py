@@ -69,8 +69,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """Write one record a page; returns (file, records, bytes), a row a file.
 
     Of pages with equal payloads the one with the smallest id is a response, the others revisit it.
-    A task writes under a name of its own attempt and renames each file when complete. A null payload
-    or url is empty. A page with a null id is a response of its own; pages of equal id that share
+    Files carry a mark of the task's attempt and are renamed when complete; the returned rows are those
+    of the attempts that counted, so a repeated or speculative attempt can't disturb another's files
+    (what a failed attempt leaves is in no row). A null payload or url is empty. A page with a null id is a response of its own; pages of equal id that share
     their payload are all responses or all revisits. Other columns are left out; no pages, no files.
     """
     ship(pages.sparkSession)
@@ -81,12 +82,12 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        part, done, out, tmp, n, size = TaskContext.get().partitionId(), [], None, "", 0, 0
+        part, mark, done, out, tmp, n, size = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], [], None, "", 0, 0
 
         def close() -> None:
             nonlocal out, n, size
             out.close()
-            name = f"pages-{part:06d}-{len(done):04d}.warc.gz"
+            name = f"pages-{part:06d}-{mark}-{len(done):04d}.warc.gz"
             store.move(tmp, f"{base}/{name}")
             done.append((name, n, size))
             out, n, size = None, 0, 0
@@ -193,7 +194,8 @@ def ranges(spark: SparkSession, folder: str, files: DataFrame | None = None, ran
 
 
 def read(spark: SparkSession, folder: str, files: DataFrame | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """One row a record of a folder's archives: file, offset, type, id, url, digest, refers_to, payload_bytes, payload.
+    """One row a record of the archives that files names (all of the folder's without it): file, offset, type, id, url,
+    digest, refers_to, payload_bytes, payload.
 
     Each task reads the records that start in its byte range, wherever they end. payload is the body
     after the HTTP header (null for a revisit, whose payload_bytes is that of the full payload).
