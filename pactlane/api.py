@@ -64,12 +64,12 @@ class ValidationRunner:
         totals: dict[str, int] = {}
         if wanted:
             totals = {n: engine.totals.get(n, 0) for n in multi.schema_names} if cap < 0 else multi.get_total_rows_by_schema(cap)
-        return ValidationResult(self._summary(results, totals, connections), results, self.contract, multi.schema_names, engine)
+        return ValidationResult(results, self._summary(results, totals, connections), self.contract, multi.schema_names, engine)
 
 
 def validate_data(
-    contract: Contract | str | Path, *, adapter: BaseAdapter | None = None, df: Any = None, connection_str: str | None = None, spark_session: SparkSession | None = None,
-    adapters: Mapping[str, Any] | MultiSourceAdapter | None = None, config: ValidationConfig | None = None,
+    contract: str | Path | Contract, *, df: Any = None, adapters: Mapping[str, Any] | MultiSourceAdapter | None = None, spark_session: SparkSession | None = None,
+    adapter: BaseAdapter | None = None, connection_str: str | None = None, config: ValidationConfig | None = None, runner: type[ValidationRunner] = ValidationRunner,
 ) -> ValidationResult:
     """Check tables against a contract (an object, or where to load it from).
 
@@ -93,4 +93,4 @@ def validate_data(
     else:
         one = get_adapter(next(iter(given.values())), names[0])
         sources = {n: one for n in names}
-    return ValidationRunner(loaded, sources, config).run()
+    return runner(loaded, sources, config).run()

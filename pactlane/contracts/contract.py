@@ -6,6 +6,7 @@ import json
 import re
 import urllib.request
 import warnings
+from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 from urllib.parse import urlsplit
@@ -14,6 +15,7 @@ import yaml
 
 from .structure import validate_structure
 
+_ABOUT = "kind apiVersion version status id description".split()
 _STEP = re.compile(r"\.([A-Za-z_][\w-]*)|\['([^']+)'\]|\[(\d+|\*)\]")
 
 
@@ -22,7 +24,7 @@ def _raw_address(url: str) -> str:
     parts = urlsplit(url)
     if parts.netloc == "github.com" and "/blob/" in parts.path:
         return f"https://raw.githubusercontent.com{parts.path.replace('/blob/', '/', 1)}"
-    return url.replace("/-/blob/", "/-/raw/", 1)
+    return re.sub("(?<=/-/)blob(?=/)", "raw", url, count=1)
 
 
 def _over_http(url: str) -> str:
@@ -55,7 +57,7 @@ def _through_spark(uri: str) -> str:
 
 
 def _read(place: str) -> str:
-    if place.startswith(("http://", "https://")):
+    if re.match("https?:", place):
         return _over_http(place)
     if place.startswith("s3://"):
         return _from_bucket(place)
@@ -73,9 +75,9 @@ def _read(place: str) -> str:
 class Contract:
     """A validated contract document (contract_data)."""
 
-    def __init__(self, contract_data: dict[str, Any]) -> None:
+    def __init__(self, contract_data: Mapping[str, Any]) -> None:
         validate_structure(contract_data)
-        self.contract_data = contract_data
+        self.contract_data = dict(contract_data)
 
     @classmethod
     def load(cls, contract_file_path: str | Path) -> Contract:
@@ -93,7 +95,7 @@ class Contract:
         return self.contract_data["apiVersion"]
 
     def get_metadata(self) -> dict[str, Any]:
-        return {k: self.contract_data.get(k) for k in ("kind", "apiVersion", "version", "status", "id", "description")}
+        return {k: self.contract_data.get(k) for k in _ABOUT}
 
     def schemas(self) -> list[tuple[int, dict[str, Any]]]:
         """(place, schema) of the schemas that have a name."""
@@ -103,7 +105,7 @@ class Contract:
     def get_schema_names(self) -> list[str]:
         return [s["name"] for _, s in self.schemas()]
 
-    def get_schema_properties(self) -> dict[str, Any]:
+    def get_schema_properties(self) -> dict[str, dict]:
         """Properties of the first schema by name."""
         first = next(iter(self.contract_data.get("schema") or []), {})
         return {p["name"]: p for p in first.get("properties") or [] if p.get("name")}
@@ -113,18 +115,15 @@ class Contract:
 
     def get_server(self, server_name: str | None = None) -> dict[str, Any]:
         """By server name, else by environment; the first without a name."""
-        servers = self.get_servers()
-        if not servers:
+        known = self.get_servers()
+        if not known:
             raise ValueError("the contract names no servers")
-        if server_name is None:
-            return servers[0]
-        for key in ("server", "environment"):
-            for s in servers:
-                if s.get(key) == server_name:
-                    return s
-        raise ValueError(f"no server {server_name!r}; known are {', '.join(str(s.get('server')) for s in servers)}")
-
-    def resolve(self, jsonpath: str) -> Any:
+        matches = [s for key in ("server", "environment") for s in known if s.get(key) == server_name] if server_name is not None else known
+        if not matches:
+            raise ValueError(f"no server {server_name!r}; known are {', '.join(str(s.get('server')) for s in known)}")
+        return matches[0]
+
+    def resolve(self, jsonpath: str):  # noqa: ANN201
         """What a path such as $.schema[0].properties[2] leads to; the first of several (with a warning), None for a bad path."""
         if not jsonpath.startswith("$") or _STEP.sub("", jsonpath[1:]):
             warnings.warn(f"{jsonpath!r} is no path", stacklevel=2)
@@ -144,7 +143,7 @@ class Contract:
             warnings.warn(f"{jsonpath!r} leads to {len(found)} places; the first is taken", stacklevel=2)
         return found[0] if found else None
 
-    def resolve_parent(self, jsonpath: str, levels: int = 1) -> str:
+    def resolve_parent(self, jsonpath: str, levels=1) -> str:  # noqa: ANN001
         """The path that many steps up."""
         steps = jsonpath.split(".")
         if levels >= len(steps):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from typing import Any
 
-CURRENT = ("v3.1.0", "v3.0.2", "v3.0.1", "v3.0.0")
-OLD = ("v2.2.2", "v2.2.1")
+CURRENT = tuple(f"v3.{x}" for x in ("1.0", "0.2", "0.1", "0.0"))
+OLD = tuple(f"v2.2.{x}" for x in (2, 1))
 
-LOGICAL_TYPES = ("string", "date", "timestamp", "time", "number", "integer", "object", "array", "boolean")
-DIMENSIONS = ("accuracy", "completeness", "conformity", "consistency", "coverage", "timeliness", "uniqueness")
-METRICS = ("nullValues", "missingValues", "invalidValues", "duplicateValues", "rowCount")
-COMPARISONS = ("mustBe", "mustNotBe", "mustBeGreaterThan", "mustBeGreaterOrEqualTo", "mustBeLessThan", "mustBeLessOrEqualTo", "mustBeBetween", "mustNotBeBetween")
+LOGICAL_TYPES = tuple("array boolean date integer number object string time timestamp".split())
+DIMENSIONS = tuple("accuracy completeness conformity consistency coverage timeliness uniqueness".split())
+METRICS = tuple(f"{x}Values" for x in "null missing invalid duplicate".split()) + ("rowCount",)
+COMPARISONS = tuple("mustBe mustNotBe mustBeGreaterThan mustBeGreaterOrEqualTo mustBeLessThan mustBeLessOrEqualTo mustBeBetween mustNotBeBetween".split())
 RANGES = ("mustBeBetween", "mustNotBeBetween")
 
 

@@ -81,8 +81,8 @@ def key_query(table: str, columns: Sequence[str], counted: str) -> str:
 class BaseExecutor(ABC):
     """Base of executors for custom engines: made for an adapter, gives a result a check."""
 
-    def __init__(self, adapter: BaseAdapter) -> None:
-        self.adapter = adapter
+    def __init__(self, adapter: Any) -> None:
+        self.adapter: BaseAdapter = adapter
 
     @abstractmethod
     def run_single_check(self, check: ir.Check) -> CheckResult: ...

@@ -22,7 +22,8 @@ def literal(value: object) -> str:
         return str(value)
     if isinstance(value, float):
         return f"{value!r}D"
-    return "'" + str(value).replace("'", "''") + "'"
+    doubled = str(value).replace("'", 2 * "'")
+    return f"'{doubled}'"
 
 
 def name(column: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.casts import name, number
 
-OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "IN", "NOT IN", "LIKE", "NOT LIKE", "IS NULL", "IS NOT NULL")
+OPERATORS = tuple("= != > >= < <=".split()) + tuple(n + o for o in ("IN", "LIKE") for n in ("", "NOT ")) + ("IS NULL", "IS NOT NULL")
 
 
 @dataclass(frozen=True)

@@ -72,7 +72,7 @@ def _metric(entry: dict[str, Any], column: str | None) -> Any:
         if not columns:
             return ir.Unusable("duplicateValues of a table needs properties")
         node = ir.DuplicateKeys(columns)
-    return ir.Percent(node) if str(entry.get("unit") or "").lower() == "percent" else node
+    return ir.Percent(node) if f"{entry.get('unit')}".lower() == "percent" else node
 
 
 def _listed(schema: str, column: str | None, entry: dict[str, Any], path: str, logical: str | None) -> ir.Check:

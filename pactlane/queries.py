@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contract(*schemas: dict[str, Any]) -> Contract:
-    return Contract({"version": "1.0.0", "apiVersion": "v3.1.0", "kind": "DataContract", "id": "shared-tables", "status": "active", "schema": list(schemas)})
+    return Contract(dict(id="shared-tables", status="active", version="1.0.0", kind="DataContract", apiVersion="v3.1.0", schema=list(schemas)))
 
 
 def validated(spark: SparkSession, sf_dir: str, schema: dict[str, Any], others: tuple[str, ...] = (), filters: dict[str, Any] | None = None, statistics: bool = False, cap: int = -1) -> ValidationResult:
@@ -70,12 +70,16 @@ def _prop(table_: str, column: str, **spec: Any) -> dict[str, Any]:
 
 
 def _lib(table_: str, column: str | None, metric: str, **spec: Any) -> dict[str, Any]:
-    entry = {"type": "library", "metric": metric, "name": "c", "mustBe": 0, **spec}
+    entry = dict(name="c", mustBe=0, type="library", metric=metric) | spec
     return {"name": table_, "properties": [{"name": column, "quality": [entry]}]} if column else {"name": table_, "quality": [entry]}
 
 
+def _metric(metric: str, **spec: Any) -> dict[str, Any]:
+    return dict(type="library", metric=metric, **spec)
+
+
 def _rule(table_: str, sql: str) -> dict[str, Any]:
-    return {"name": table_, "quality": [{"type": "sql", "name": "c", "query": sql, "mustBe": 0}]}
+    return dict(name=table_, quality=[dict(name="c", type="sql", query=sql, mustBe=0)])
 
 
 def _option(table_: str, column: str, option: str, value: Any) -> dict[str, Any]:
@@ -145,31 +149,33 @@ CHECKS: dict[str, tuple] = {
     "filter_is_null": (_lib("orders_d", None, "rowCount"), "c", "SELECT count(*) FROM orders_d WHERE o_orderstatus IS NULL", "bigint", None, (), {"orders_d": {"field": "o_orderstatus", "operator": "IS NULL"}}),
     "filter_glob_multi": (
         _rule("orders", "SELECT COUNT(*) FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"), "c", "SELECT count(*) FROM (SELECT * FROM orders WHERE o_orderkey >= 100 AND o_orderstatus = 'O') o JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey", "bigint", None, ("customer",),
-        {"ord*": {"field": "o_orderkey", "operator": ">=", "value": 100}, "orders": {"field": "o_orderstatus", "operator": "=", "value": "O"}, "cust?mer": {"field": "c_acctbal", "operator": ">", "value": 0}},
+        {"ord*": {"field": "o_orderkey", "operator": ">=", "value": 100}, "orders": {"field": "o_orderstatus", "operator": "=", "value": "O"}, "cust?mer": dict(field="c_acctbal", operator=">", value=0)},
     ),
     "filter_text_as_number": (_lib("orders_d", None, "rowCount"), "c", "SELECT count(*) FROM orders_d WHERE TRY_CAST(price_txt AS DOUBLE) >= 100", "bigint", None, (), {"orders_d": {"field": "price_txt", "operator": ">=", "value": 100}}),
 }
 
-_TWO = {"name": "orders_d", "properties": [{"name": "o_orderstatus", "required": True}, {"name": "o_orderpriority", "quality": [{"type": "library", "metric": "missingValues", "name": "no_priority", "mustBe": 0, "arguments": {"missingValues": [None, "N/A"]}}]}]}
+_TWO = dict(name="orders_d", properties=[dict(name="o_orderstatus", required=True), dict(name="o_orderpriority", quality=[_metric("missingValues", name="no_priority", mustBe=0, arguments={"missingValues": [None, "N/A"]})])])
 _BAD = "o_orderstatus IS NULL OR o_orderpriority = 'N/A'"
 _NAMES = "concat_ws(', ', CASE WHEN o_orderpriority = 'N/A' THEN 'no_priority' END, CASE WHEN o_orderstatus IS NULL THEN 'o_orderstatus_required_check' END)"
 
-FLAGSHIP = {
-    "name": "lineitem",
-    "properties": [
-        {"name": "l_orderkey", "logicalType": "integer", "required": True}, {"name": "l_partkey", "logicalType": "integer", "required": True}, {"name": "l_suppkey", "logicalType": "integer", "required": True}, {"name": "l_linenumber", "logicalType": "integer", "required": True},
-        {"name": "l_quantity", "logicalType": "number", "logicalTypeOptions": {"minimum": 1, "maximum": 50, "multipleOf": 1}}, {"name": "l_extendedprice", "logicalType": "number"}, {"name": "l_discount", "logicalType": "number", "logicalTypeOptions": {"maximum": 0.1}}, {"name": "l_tax", "logicalType": "number"},
-        {"name": "l_returnflag", "logicalType": "string", "quality": [{"type": "library", "metric": "invalidValues", "mustBe": 0, "arguments": {"validValues": ["A", "N", "R"]}}]}, {"name": "l_linestatus", "logicalType": "string"}, {"name": "l_shipdate", "logicalType": "timestamp"},
+_WHOLE = dict(logicalType="integer", required=True)
+_NUMBER = dict(logicalType="number")
+FLAGSHIP = dict(
+    name="lineitem",
+    properties=[
+        dict(name="l_orderkey", **_WHOLE), dict(name="l_partkey", **_WHOLE), dict(name="l_suppkey", **_WHOLE), dict(name="l_linenumber", **_WHOLE),
+        dict(name="l_quantity", **_NUMBER, logicalTypeOptions=dict(minimum=1, maximum=50, multipleOf=1)), dict(name="l_extendedprice", **_NUMBER), dict(name="l_discount", **_NUMBER, logicalTypeOptions=dict(maximum=0.1)), dict(name="l_tax", **_NUMBER),
+        dict(name="l_returnflag", logicalType="string", quality=[_metric("invalidValues", mustBe=0, arguments={"validValues": ["A", "N", "R"]})]), dict(name="l_linestatus", logicalType="string"), dict(name="l_shipdate", logicalType="timestamp"),
     ],
-    "quality": [
-        {"type": "library", "metric": "rowCount", "mustBeGreaterThan": 0}, {"type": "library", "metric": "duplicateValues", "mustBe": 0, "arguments": {"properties": ["l_orderkey", "l_linenumber"]}},
-        {"type": "sql", "name": "discount_of_small_lines", "query": "SELECT COUNT(*) FROM lineitem WHERE l_discount > 0.05 AND l_quantity < 24", "mustBeLessThan": 1000000000},
+    quality=[
+        _metric("rowCount", mustBeGreaterThan=0), _metric("duplicateValues", mustBe=0, arguments={"properties": ["l_orderkey", "l_linenumber"]}),
+        dict(type="sql", name="discount_of_small_lines", query="SELECT COUNT(*) FROM lineitem WHERE l_discount > 0.05 AND l_quantity < 24", mustBeLessThan=1000000000),
     ],
-}
+)
 
 
 def check_results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validated(spark, sf_dir, FLAGSHIP, statistics=True).get_check_results_df().select("check_name", "target", "status", "operator", "actual_value", "expected_value", "failed_rows_count")
+    return validated(spark, sf_dir, FLAGSHIP, statistics=True).get_check_results_df().select(*"check_name target status operator actual_value expected_value failed_rows_count".split())
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +213,7 @@ def row_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = {**_TWO, "quality": [{"type": "sql", "name": "known_customer", "mustBe": 0, "query": "SELECT COUNT(*) FROM orders_d o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_custkey IS NULL OR c.c_acctbal < 0"}]}
+    rule = {**_TWO, "quality": [dict(name="known_customer", type="sql", mustBe=0, query="SELECT COUNT(*) FROM orders_d o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_custkey IS NULL OR c.c_acctbal < 0")]}
     b = validated(spark, sf_dir, rule, ("customer",), statistics=True).schema_breakdown()["orders_d"]
     row = (b.overall.total_checks, b.overall.passed_checks, b.single_table.total_checks, b.single_table.failed_unique_rows, b.multi_table.total_checks, b.multi_table.failed_non_unique_rows)
     return spark.createDataFrame([row], "checks bigint, passed bigint, single_checks bigint, failed_unique_rows bigint, multi_checks bigint, failed_non_unique_rows bigint")

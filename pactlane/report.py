@@ -31,7 +31,7 @@ def ascii_table(header: list[str], rows: list[list[object]], rules_before: set[i
     """A boxed table; a rule is drawn before each row whose place is in rules_before."""
     cells = [[_cell(v) for v in r] for r in rows]
     widths = [max(len(h), *(len(r[k]) for r in cells)) if cells else len(h) for k, h in enumerate(header)]
-    rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
+    rule = "".join("+" + "-" * (w + 2) for w in widths) + "+"
     line = lambda r: "| " + " | ".join(v.ljust(w) for v, w in zip(r, widths)) + " |"
     out = [rule, line(header), rule]
     for k, r in enumerate(cells):

@@ -31,8 +31,8 @@ class CheckResult:
     """Outcome of one check. failed_rows is a lazy Spark DataFrame, made when first asked for."""
 
     def __init__(
-        self, check_name: str, status: str, details: str, actual_value: Any = None, expected_value: Any = None, failed_rows_fetcher: Callable[[], DataFrame | None] | None = None,
-        failed_rows_count: int = 0, supports_row_level_output: bool = False, metadata: dict[str, Any] | None = None, execution_time_ms: float = 0.0, where: tuple[str, str] | None = None,
+        self, check_name, status: str, details="", actual_value: Any = None, expected_value: Any = None, failed_rows_fetcher: Callable[[], DataFrame] | None = None,
+        failed_rows_count=0, supports_row_level_output=False, metadata: dict | None = None, execution_time_ms=0.0, where: tuple[str, str] | None = None,
     ) -> None:
         self.check_name, self.status, self.details = check_name, status, details
         self.actual_value, self.expected_value = actual_value, expected_value
@@ -62,6 +62,16 @@ class CheckResult:
         return f"CheckResult({self.check_name!r}: {self.status})"
 
 
+@dataclass(frozen=True)
+class RowQualitySummary:
+    """Rows of a table, those with a fault, those without, and their share in per cent."""
+
+    total_rows: int
+    clean_records: int
+    records_with_issues: int
+    data_quality: float
+
+
 @dataclass(frozen=True)
 class CheckStatusSummary:
     passed_checks: int
@@ -93,14 +103,6 @@ class SchemaValidationBreakdown:
     multi_table: MultiTableSummary
 
 
-@dataclass(frozen=True)
-class RowQualitySummary:
-    total_rows: int
-    records_with_issues: int
-    clean_records: int
-    data_quality: float
-
-
 def comparable(df: DataFrame) -> DataFrame:
     """df with maps and variants as JSON text, so that its rows can be grouped."""
     odd = [f.name for f in df.schema if "map<" in f.dataType.simpleString() or f.dataType.simpleString() == "variant"]
@@ -110,7 +112,7 @@ def comparable(df: DataFrame) -> DataFrame:
 class ValidationResult:
     """Everything a run found; its methods for reports return the result itself."""
 
-    def __init__(self, summary: dict[str, Any], check_results: list[CheckResult], contract: Any, schema_names: Sequence[str], engine: Any = None) -> None:
+    def __init__(self, check_results: list[CheckResult], summary: dict[str, Any], contract: Any, schema_names: Sequence[str], engine: Any = None) -> None:
         self.summary, self.check_results, self.contract = summary, check_results, contract
         self.schema_names, self._engine = list(schema_names), engine
         self._totals: dict[str, int] = summary["validation_summary"]["total_rows_by_schema"]
@@ -118,7 +120,7 @@ class ValidationResult:
 
     def __repr__(self) -> str:
         s = self.summary["validation_summary"]
-        return f"ValidationResult(passed={self.passed}, checks={s['total_checks']}, failed={s['failed']}, errors={s['errors']})"
+        return f"<ValidationResult of {s['total_checks']} checks: {s['failed']} failed, {s['errors']} in error>"
 
     @property
     def passed(self) -> bool:
@@ -131,11 +133,11 @@ class ValidationResult:
 
     @property
     def api_version(self) -> str:
-        return self.contract.get_api_version()
+        return self.contract_data["apiVersion"]
 
     @property
     def contract_id(self) -> str:
-        return self.contract.get_metadata().get("id") or "unknown"
+        return self.contract_data.get("id") or "unknown"
 
     @property
     def contract_data(self) -> dict[str, Any]:
@@ -193,7 +195,7 @@ class ValidationResult:
                     continue
                 bad = sum(keys.count() for keys in self._failing_keys(schema, [c for c in mine if c.status == "FAILED"]))
                 clean = max(total - bad, 0)
-                self._row_quality[schema] = RowQualitySummary(total, bad, clean, clean / total * 100 if total else 100.0)
+                self._row_quality[schema] = RowQualitySummary(total, clean, bad, clean / total * 100 if total else 100.0)
         return self._row_quality
 
     def schema_breakdown(self) -> dict[str, SchemaValidationBreakdown]:
@@ -212,7 +214,7 @@ class ValidationResult:
             )
         return out
 
-    def _outputs(self, checks: Sequence[str] | None) -> list[tuple[str, CheckResult]]:
+    def _outputs(self, checks: Sequence[str]) -> list[tuple[str, CheckResult]]:
         found = {}
         for c in self.check_results:
             if c.status != "ERROR" and (not checks or c.check_name in checks):
@@ -220,11 +222,11 @@ class ValidationResult:
                 found[f"{schema}::{c.check_name}" if schema else c.check_name] = c
         return sorted(found.items(), key=lambda x: x[0])
 
-    def get_output_dfs(self, checks: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    def get_output_dfs(self, checks: Sequence[str] = ()) -> dict[str, DataFrame]:
         """Failing rows of every check that isn't an error, by schema::check, with check_id and tables_in_query."""
         return {k: c.failed_rows.withColumns({"check_id": F.lit(c.check_name), "tables_in_query": F.lit(", ".join(sorted(c.tables)))}) for k, c in self._outputs(checks)}
 
-    def get_consolidated_output_dfs(self, checks: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    def get_consolidated_output_dfs(self, checks: Sequence[str] = ()) -> dict[str, DataFrame]:
         """One frame a set of tables and columns: each distinct failing row with the names of all checks it fails.
 
         Row predicates of one table are told apart in one scan; grouping runs on the cluster; only
@@ -292,16 +294,16 @@ class ValidationResult:
         print(failed_checks_text(self))
         return self
 
-    def show_failed_rows(self, max_rows: int = 5) -> ValidationResult:
+    def show_failed_rows(self, max_rows=5) -> ValidationResult:
         from .report import failed_rows_text
 
         print(failed_rows_text(self, max_rows))
         return self
 
-    def display_full_report(self, max_rows: int = 5) -> ValidationResult:
+    def display_full_report(self, max_rows=5) -> ValidationResult:
         return self.print_summary().show_failed_rows(max_rows)
 
-    def save(self, output_dir: str = ".", prefix: str = "validation_results") -> ValidationResult:
+    def save(self, output_dir: str | Path = ".", prefix="validation_results") -> ValidationResult:
         """The table of checks and the summary as single files, each consolidated table as a CSV folder written by the cluster."""
         import csv
 

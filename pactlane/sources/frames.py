@@ -45,7 +45,7 @@ def arrow_by_column(frame: pd.DataFrame) -> pa.Table:
     return pa.table(columns)
 
 
-def _spark_types(table: pa.Table) -> pa.Table:
+def _spark_types(table) -> pa.Table:  # noqa: ANN001
     """Columns of types Spark has none for as their nearest: null and dictionary as text, nanoseconds as microseconds, unsigned as wider."""
     wider = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(), pa.uint64(): pa.decimal128(20, 0)}
     fields = []

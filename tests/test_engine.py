@@ -7,7 +7,7 @@ from pactlane import BaseExecutor, CheckResult, MultiSourceAdapter, SparkAdapter
 from pactlane.execute import Engine
 from pactlane.operators.compare import expectation, holds
 
-from .test_contract import make
+from .test_contract import count, make, totals
 
 
 def run(df, schema, **more):
@@ -39,7 +39,7 @@ def test_expectation_order():
 
 def test_integrality(spark):
     df = spark.createDataFrame([("44",), ("44.0",), ("44.5",), ("abc",), (None,)], "id string")
-    r = run(df, {"properties": [{"name": "id", "logicalType": "integer"}]})["id_logical_type_check"]
+    r = run(df, {"properties": [{"logicalType": "integer", "name": "id"}]})["id_logical_type_check"]
     assert r.actual_value == 2 and sorted(x.id for x in r.failed_rows.collect()) == ["44.5", "abc"]
 
 
@@ -52,7 +52,7 @@ def test_integrality(spark):
 )
 def test_types_of_text(spark, kind, texts, bad):
     df = spark.createDataFrame([(x,) for x in texts], "c string")
-    assert run(df, {"properties": [{"name": "c", "logicalType": kind}]})["c_logical_type_check"].actual_value == bad
+    assert run(df, {"properties": [{"logicalType": kind, "name": "c"}]})["c_logical_type_check"].actual_value == bad
 
 
 @pytest.mark.parametrize(
@@ -62,7 +62,7 @@ def test_types_of_text(spark, kind, texts, bad):
 def test_static_types(spark, spark_type, kind, bad):
     text = {"array<int>": "array(1)", "map<string,int>": "map('a', 1)"}.get(spark_type, f"CAST({'1' if spark_type in ('int', 'double', 'decimal(9,2)', 'boolean') else repr('2020-01-01')} AS {spark_type})")
     df = spark.sql(f"SELECT {text} AS c UNION ALL SELECT NULL")
-    assert run(df, {"properties": [{"name": "c", "logicalType": kind}]})["c_logical_type_check"].actual_value == bad
+    assert run(df, {"properties": [{"logicalType": kind, "name": "c"}]})["c_logical_type_check"].actual_value == bad
 
 
 def test_options(spark):
@@ -83,7 +83,7 @@ def test_multiple_of_zero_is_an_error(spark):
 
 def test_keys(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (None, "b"), (None, "b"), (3, "c")], "k int, s string")
-    spec = {"properties": [{"name": "k", "unique": True, "primaryKey": True, "quality": [{"type": "library", "metric": "duplicateValues", "mustBe": 0}, {"type": "library", "metric": "duplicateValues", "name": "p", "unit": "percent", "mustBe": 0}]}], "quality": [{"type": "library", "metric": "duplicateValues", "arguments": {"properties": ["k", "s"]}, "mustBe": 0}]}
+    spec = {"properties": [{"unique": True, "name": "k", "primaryKey": True, "quality": [{"metric": "duplicateValues", "type": "library", "mustBe": 0}, {"metric": "duplicateValues", "type": "library", "name": "p", "unit": "percent", "mustBe": 0}]}], "quality": [{"metric": "duplicateValues", "type": "library", "arguments": {"properties": ["k", "s"]}, "mustBe": 0}]}
     got = run(df, spec)
     assert (got["k_unique_check"].actual_value, got["k_primary_key_check"].actual_value, got["k_duplicateValues"].actual_value, got["t_duplicateValues"].actual_value) == (2, 4, 2, 1)
     assert got["p"].actual_value == pytest.approx(2 * 100 / 7)
@@ -93,7 +93,7 @@ def test_keys(spark):
 
 
 def test_missing_column_is_an_error(spark):
-    got = values(spark.range(2), {"properties": [{"name": "id"}, {"name": "email", "required": True}]})
+    got = values(spark.range(2), {"properties": [dict(name="id"), {"required": True, "name": "email"}]})
     assert got == {"id_column_exists_check": ("PASSED", 0), "email_column_exists_check": ("ERROR", None), "email_required_check": ("ERROR", None)}
 
 
@@ -108,16 +108,16 @@ def test_percent_of_empty_table(spark):
 
 
 def test_failing_row_count(spark):
-    r = run(spark.range(200), {"quality": [{"type": "library", "metric": "rowCount", "mustBeLessThan": 10}]})["t_rowCount"]
+    r = run(spark.range(200), {"quality": [{"metric": "rowCount", "type": "library", "mustBeLessThan": 10}]})["t_rowCount"]
     assert r.failed_rows_count == 200 and r.failed_rows.count() == 200
 
 
 def test_sql_checks(spark):
     df = spark.createDataFrame([("215.0", "2017-jan"), ("44.5", "2017-01"), ("abc", None)], "n string, month string")
     rules = [
-        {"name": "safe", "query": "SELECT COUNT(*) FROM t WHERE n >= 200", "mustBe": 0}, {"name": "regex", "query": r"SELECT COUNT(*) FROM t WHERE CAST(month AS TEXT) !~ '^\d{4}-\d{2}$';", "mustBe": 0}, {"name": "rows", "query": "SELECT n FROM t WHERE n = 'abc'", "mustBe": 0},
-        {"name": "alias", "query": "SELECT COUNT(*) AS c FROM t", "mustBe": 0}, {"name": "distinct", "query": "SELECT COUNT(DISTINCT n) FROM t", "mustBe": 0}, {"name": "none", "query": "SELECT n FROM t WHERE FALSE LIMIT 1", "mustBe": 0}, {"name": "typo", "query": "SELECT COUNT(*) FROM t WHERE nope = 1", "mustBe": 0},
-        {"name": "percent", "query": "SELECT COUNT(*) FROM t", "mustBe": 0, "unit": "percent"}, {"name": "text", "query": "SELECT MAX(month) FROM t", "mustBeGreaterThan": 3}, {"name": "unknown", "query": "SELECT COUNT(*) FROM t"},
+        {"name": "safe", "query": count("t WHERE n >= 200"), "mustBe": 0}, {"name": "regex", "query": count(r"t WHERE CAST(month AS TEXT) !~ '^\d{4}-\d{2}$';"), "mustBe": 0}, {"name": "rows", "query": "SELECT n FROM t WHERE n = 'abc'", "mustBe": 0},
+        {"name": "alias", "query": "SELECT COUNT(*) AS c FROM t", "mustBe": 0}, {"name": "distinct", "query": "SELECT COUNT(DISTINCT n) FROM t", "mustBe": 0}, {"name": "none", "query": "SELECT n FROM t WHERE FALSE LIMIT 1", "mustBe": 0}, {"name": "typo", "query": count("t WHERE nope = 1"), "mustBe": 0},
+        {"name": "percent", "query": count("t"), "mustBe": 0, "unit": "percent"}, {"name": "text", "query": "SELECT MAX(month) FROM t", "mustBeGreaterThan": 3}, {"name": "unknown", "query": count("t")},
     ]
     got = run(df, {"quality": [{"type": "sql", **r} for r in rules]})
     assert {k: (c.status, c.actual_value) for k, c in got.items()} == {
@@ -132,25 +132,25 @@ def test_sql_checks(spark):
 
 def test_without_safe_casts(spark):
     df = spark.createDataFrame([("x",)], "n string")
-    rule = {"quality": [{"type": "sql", "name": "q", "query": "SELECT COUNT(*) FROM t WHERE n > 5", "mustBe": 0}]}
+    rule = {"quality": [{"name": "q", "type": "sql", "query": count("t WHERE n > 5"), "mustBe": 0}]}
     assert values(df, rule)["q"] == ("PASSED", 0)
     assert values(df, rule, config=ValidationConfig(use_try_cast=False))["q"][0] == "ERROR"
 
 
 def test_one_bad_rule_is_one_error(spark):
     df = spark.createDataFrame([("1",), ("x",)], "n string")
-    rules = [{"type": "sql", "name": "bad", "query": "SELECT COUNT(*) FROM t WHERE assert_true(n = '1') IS NOT NULL", "mustBe": 0}, {"type": "sql", "name": "good", "query": "SELECT COUNT(*) FROM t WHERE n = 'x'", "mustBe": 1}]
-    got = values(df, {"quality": rules, "properties": [{"name": "n", "required": True}]})
+    rules = [{"name": "bad", "type": "sql", "query": count("t WHERE assert_true(n = '1') IS NOT NULL"), "mustBe": 0}, {"name": "good", "type": "sql", "query": count("t WHERE n = 'x'"), "mustBe": 1}]
+    got = values(df, {"quality": rules, "properties": [{"required": True, "name": "n"}]})
     assert got["bad"][0] == "ERROR" and got["good"] == ("PASSED", 1) and got["n_required_check"] == ("PASSED", 0)
 
 
 def test_security_violation_is_an_error(spark):
-    got = run(spark.range(1), {"quality": [{"type": "sql", "name": "w", "query": "DROP TABLE t", "mustBe": 0}]})["w"]
+    got = run(spark.range(1), {"quality": [{"name": "w", "type": "sql", "query": "DROP TABLE t", "mustBe": 0}]})["w"]
     assert got.status == "ERROR" and got.metadata["security_violation"] == "write_operation"
 
 
 def test_unsupported_come_first(spark):
-    r = validate_data(make(schema=[{"name": "t", "properties": [{"name": "id"}], "quality": [{"type": "text", "name": "said"}]}]), df=spark.range(1))
+    r = validate_data(make(schema=[{"name": "t", "properties": [dict(name="id")], "quality": [{"type": "text", "name": "said"}]}]), df=spark.range(1))
     assert [c.check_name for c in r.check_results] == ["said", "id_column_exists_check"] and r.passed and r.has_errors
 
 
@@ -165,7 +165,7 @@ def test_several_tables(spark):
     pay = spark.createDataFrame([("e1", "p1"), ("e2", "p2"), ("e9", "p9")], "id string, phone string")
     people = spark.createDataFrame([("e1", "p1"), ("e2", "x")], "id string, phone string")
     rule = lambda c: {"type": "sql", "name": f"{c}_known", "query": f"SELECT COUNT(*) FROM pay p LEFT JOIN people l ON p.{c} = l.{c} WHERE l.{c} IS NULL", "mustBe": 0}
-    contract = make(schema=[{"name": "pay", "quality": [rule("id"), rule("phone")], "properties": [{"name": "id", "required": True}]}, {"name": "people", "properties": [{"name": "id", "unique": True}]}])
+    contract = make(schema=[{"name": "pay", "quality": [rule("id"), rule("phone")], "properties": [{"required": True, "name": "id"}]}, {"name": "people", "properties": [{"unique": True, "name": "id"}]}])
     r = validate_data(contract, adapters={"pay": pay, "people": people})
     got = {c.check_name: c for c in r.check_results}
     assert got["id_known"].actual_value == 1 and got["phone_known"].actual_value == 2 and got["id_known"].metadata["multi_source"]
@@ -178,22 +178,22 @@ def test_several_tables(spark):
 
 
 def test_filters_apply_once_and_everywhere(spark):
-    a = SparkAdapter(spark, {"t": spark.range(10), "u": spark.range(10)}, filter_conditions={"t": {"field": "id", "operator": "<", "value": 3}})
-    contract = make(schema=[{"name": "t", "quality": [{"type": "library", "metric": "rowCount", "mustBe": 3}, {"type": "sql", "name": "j", "query": "SELECT COUNT(*) FROM t JOIN u ON t.id = u.id", "mustBe": 3}]}, {"name": "u"}])
+    a = SparkAdapter(spark, {"t": spark.range(10), "u": spark.range(10)}, filter_conditions={"t": dict(field="id", operator="<", value=3)})
+    contract = make(schema=[{"name": "t", "quality": [{"metric": "rowCount", "type": "library", "mustBe": 3}, {"name": "j", "type": "sql", "query": count("t JOIN u ON t.id = u.id"), "mustBe": 3}]}, {"name": "u"}])
     r = validate_data(contract, adapters=MultiSourceAdapter({"t": a, "u": a}))
-    assert r.passed and r.summary["validation_summary"]["total_rows_by_schema"] == {"t": 3, "u": 10}
+    assert r.passed and totals(r) == {"t": 3, "u": 10}
     assert a.export_table_as_arrow("t").num_rows == 3
 
 
 def test_the_callers_session_stays_as_it_is(spark):
     before = (spark.conf.get("spark.sql.parser.escapedStringLiterals"), [t.name for t in spark.catalog.listTables()])
-    validate_data(make(schema=[{"name": "mine", "properties": [{"name": "id", "required": True}]}]), df=spark.range(2))
+    validate_data(make(schema=[{"name": "mine", "properties": [{"required": True, "name": "id"}]}]), df=spark.range(2))
     assert before == (spark.conf.get("spark.sql.parser.escapedStringLiterals"), [t.name for t in spark.catalog.listTables()])
 
 
 def test_row_checks_share_one_scan(spark, monkeypatch):
     asked = []
-    contract = make(schema=[{"name": "t", "properties": [{"name": "id", "required": True, "unique": True, "logicalTypeOptions": {"minimum": 0, "maximum": 5}}], "quality": [{"type": "library", "metric": "rowCount", "mustBe": 3}, {"type": "sql", "name": "s", "query": "SELECT COUNT(*) FROM t WHERE id > 7", "mustBe": 0}]}])
+    contract = make(schema=[{"name": "t", "properties": [{"required": True, "name": "id", "unique": True, "logicalTypeOptions": {"minimum": 0, "maximum": 5}}], "quality": [{"metric": "rowCount", "type": "library", "mustBe": 3}, {"name": "s", "type": "sql", "query": count("t WHERE id > 7"), "mustBe": 0}]}])
     scan, alone = Engine._scan, Engine._alone
     monkeypatch.setattr(Engine, "_scan", lambda self, t, found: (asked.append(len(found)), scan(self, t, found))[1])
     monkeypatch.setattr(Engine, "_alone", lambda self, c: (asked.append("alone"), alone(self, c))[1])
@@ -207,7 +207,7 @@ text = st.one_of(st.none(), st.sampled_from(["", "a", "ab", "44", "44.0", "44.5"
 @given(st.lists(st.tuples(text, text), max_size=6))
 def test_fused_and_single_execution_agree(spark, rows):
     df = spark.createDataFrame(rows, "a string, b string")
-    column = lambda c: {"name": c, "logicalType": "integer", "required": True, "unique": True, "primaryKey": True, "logicalTypeOptions": {"minLength": 2, "pattern": "^[a-z']*$", "minimum": 10}, "quality": [{"metric": "missingValues", "arguments": {"missingValues": [None, ""]}, "mustBe": 0}]}
+    column = lambda c: {"name": c, "required": True, "primaryKey": True, "logicalType": "integer", "unique": True, "logicalTypeOptions": {"minLength": 2, "pattern": "^[a-z']*$", "minimum": 10}, "quality": [{"metric": "missingValues", "arguments": {"missingValues": [None, ""]}, "mustBe": 0}]}
     contract = make(schema=[{"name": "t", "properties": [column("a"), column("b")], "quality": [{"metric": "duplicateValues", "arguments": {"properties": ["a", "b"]}, "mustBe": 0}]}])
     engine = Engine(MultiSourceAdapter({"t": SparkAdapter(spark, {"t": df})}))
     fused = engine.run(contract.get_check_references_by_schema())
@@ -223,7 +223,7 @@ def test_fused_and_single_execution_agree(spark, rows):
 def test_pandas_mixed_column(spark):
     df = pd.DataFrame({"a": [1, "x", None], "b": [1.5, 2.0, None]})
     with pytest.warns(UserWarning, match="a"):
-        got = values(df, {"properties": [{"name": "a", "logicalType": "integer"}, {"name": "b", "logicalType": "number", "required": True}]})
+        got = values(df, {"properties": [{"logicalType": "integer", "name": "a"}, {"logicalType": "number", "name": "b", "required": True}]})
     assert got["a_logical_type_check"][1] == 1 and got["b_required_check"][1] == 1
 
 
@@ -243,7 +243,7 @@ def test_executor_interface(spark):
         def cleanup(self):
             Mine.ended += 1
 
-    contract = make(schema=[{"name": "t", "properties": [{"name": "id", "required": True, "unique": True}], "quality": [{"type": "custom", "engine": "mine", "implementation": "x", "name": "m", "mustBe": 3}]}])
+    contract = make(schema=[{"name": "t", "properties": [{"required": True, "name": "id", "unique": True}], "quality": [{"type": "custom", "engine": "mine", "implementation": "x", "name": "m", "mustBe": 3}]}])
     adapter = SparkAdapter(spark, {"t": spark.range(3)}, executors={"mine": Mine})
     r = validate_data(contract, adapter=adapter)
     assert r.passed and not r.has_errors and Mine.ended == 1 and r.check_results[-1].metadata["schema_name"] == "t"
