@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_mod, ship, slices, table, written
+from .common import gathered, hash_mod, ship, slices, table, written
 from .textstats import words
 from .tokens import vocabulary
 
@@ -24,6 +24,9 @@ WARM_WORDS, WARM_ROUNDS = 40_000, 3
 #: Pseudo-count in all of the vocabulary's own scores; slice of text a worker handles at once.
 PRIOR_COUNT, SLICE = 1_000.0, 8 << 20
 
+#: Words whose lattices a worker builds at once.
+WORDS_AT_ONCE = 30_000
+
 SPACE, LONGEST, _P = "▁", 16, np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 20
 
@@ -141,7 +144,7 @@ class Lattice:
         return out
 
 
-def _groups(vocab: Vocabulary, distinct: list[str], cells: int = 400_000) -> Iterator[tuple[np.ndarray, Lattice]]:
+def _groups(vocab: Vocabulary, distinct: list[str], cells: int = 150_000) -> Iterator[tuple[np.ndarray, Lattice]]:
     """(places, lattice) of the words of each length, in blocks of bounded size."""
     lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
     order = np.argsort(lengths, kind="stable")
@@ -240,7 +243,7 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, out = load(vocabulary_path), None
-        for b in batches:
+        for b in gathered(batches, WORDS_AT_ONCE):
             more = expectations(vocab, started.value, b.column("word").to_pylist(), b.column("c").to_numpy().astype(np.float64))
             out = more if out is None else out + more
         if out is not None:
@@ -255,7 +258,7 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load(vocabulary_path)
-        for b in batches:
+        for b in gathered(batches, WORDS_AT_ONCE):
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(word_scores(vocab, final.value, b.column("word").to_pylist()))], ["word", "c", "lp"])
 
     rare = written(counts.where(F.col("c") < least).mapInArrow(scored, "word string, c bigint, lp double"), "rare-words")
