@@ -58,9 +58,9 @@ class ValidationRunner:
         checks = self.contract.get_check_references_by_schema()
         engine = Engine(multi, self.config.use_try_cast, self.config.max_failed_rows)
         tables = {s: sorted({t for c in found if isinstance(c.node, ir.SqlQuery) for t in engine.tables_of(c.node.query)}) for s, found in checks.items()}
-        connections = multi.test_connections(tables)
         wanted, cap = self.config.enable_additional_schema_statistics, self.config.max_rows_for_statistics
         results = engine.run(checks, count_rows=wanted and cap < 0)
+        connections = multi.test_connections(tables, engine.totals)  # a table that was scanned needs no probe
         totals: dict[str, int] = {}
         if wanted:
             totals = {n: engine.totals.get(n, 0) for n in multi.schema_names} if cap < 0 else multi.get_total_rows_by_schema(cap)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from typing import Any
 from urllib.parse import urlsplit
 
@@ -163,11 +163,14 @@ class MultiSourceAdapter(BaseAdapter):
     def get_total_rows_by_schema(self, max_rows=-1) -> dict[str, int]:
         return {n: a.get_total_rows(n, max_rows) if hasattr(a, "get_total_rows") else 0 for n, a in self._adapters.items()}
 
-    def test_connections(self, tables_by_schema: Mapping[str, Sequence[str]]) -> dict:
-        """For each schema its own table and every other that its checks name: success, skipped, or an error text."""
+    def test_connections(self, tables_by_schema: Mapping[str, Sequence[str]], seen: Collection[str] = ()) -> dict:
+        """For each schema its own table and every other that its checks name: success, skipped, or an error text.
+
+        Tables in seen were read already and are not probed again.
+        """
         out: dict = {}
         for name, adapter in self._adapters.items():
-            problem = adapter.test_connection(name)
+            problem = None if name in seen else adapter.test_connection(name)
             found = out[name] = {name: problem or "success"}
             if problem:
                 warnings.warn(f"table {name} can't be read: {problem}", stacklevel=2)
