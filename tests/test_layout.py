@@ -27,9 +27,8 @@ def test_entry_without_the_subpackage(monkeypatch):
     real = importlib.util.find_spec
     hidden = lambda name, *a: None if name.startswith(("pactlane.llm", "corpus_pipeline")) else real(name, *a)
     monkeypatch.setattr(importlib.util, "find_spec", hidden)
-    sys.modules.pop("__spark_entry__", None)
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
     import __spark_entry__ as entry
 
     monkeypatch.setattr(entry, "find_spec", hidden)
     assert "chk_required" in entry.queries() and not any(k.startswith("op1_") or k == "pipeline" for k in entry.queries())
-    sys.modules.pop("__spark_entry__", None)
