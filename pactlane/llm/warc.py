@@ -21,7 +21,10 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 #: Bytes of a file after which a writer starts the next, bytes of a reader's range, and bytes read at once.
-FILE_BYTES, RANGE_BYTES, CHUNK = 256 << 20, 16 << 20, 1 << 20
+FILE_BYTES, RANGE_BYTES, CHUNK = 256 << 20, 16 << 20, 512 << 10
+
+#: Bytes that are inflated at once.
+PIECE = 16 << 10
 
 
 def payload_digest(payload: bytes) -> str:
@@ -112,22 +115,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 
 class _Window:
-    """A file read forward in chunks, with the bytes from a moving start on at hand."""
+    """A file read forward in chunks; the bytes before the last position asked for are let go chunk by chunk."""
 
     def __init__(self, f: pa.NativeFile, start: int, size: int) -> None:
         self.f, self.start, self.size, self.data = f, start, size, b""
 
     def at(self, pos: int, n: int) -> bytes:
-        """n bytes from pos on (fewer at the file's end); what lies before pos is let go."""
-        if pos > self.start:
-            self.data, self.start = self.data[pos - self.start :] if pos < self.start + len(self.data) else b"", pos
-        while len(self.data) < n and self.start + len(self.data) < self.size:
-            self.f.seek(self.start + len(self.data))
-            more = self.f.read(max(CHUNK, n - len(self.data)))
-            if not more:
-                break
-            self.data += more
-        return self.data[:n]
+        """n bytes from pos on (fewer at the file's end)."""
+        off, end = pos - self.start, self.start + len(self.data)
+        if off + n > len(self.data) and end < self.size:
+            kept = self.data[off:] if pos < end else b""
+            self.f.seek(pos + len(kept))
+            self.data, self.start, off = kept + self.f.read(max(CHUNK, n - len(kept))), pos, 0
+        return self.data[off : off + n]
 
 
 def _begins(window: _Window, pos: int) -> bool:
@@ -169,7 +169,7 @@ def records(f: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple
     while pos < end:
         z, out, at = zlib.decompressobj(31), [], pos
         while not z.eof:
-            data = window.at(at, CHUNK)
+            data = window.at(at, PIECE)
             if not data:
                 raise ValueError(f"the record at {pos} breaks off")
             out.append(z.decompress(data))
