@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlane.llm import decontam, packing, quality_gam, simhash, toxicity_cnn
+from pactlane.llm import decontam, jaccard, packing, quality_gam, simhash, toxicity_cnn
 from pactlane.llm.common import table, written
 from pactlane.llm.tokens import vocabulary
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash fingerprints link: that of the least id."""
-    return simhash.one_each(docs)
+    """One document of each group that five-word shingles (Jaccard 0.8 or more) or SimHash fingerprints link: that of the least id."""
+    return simhash.one_each(docs, found=jaccard.near_duplicates(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,14 +97,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "fp", "component_id", "n_class")
 
 
-def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, found: DataFrame | None = None) -> DataFrame:
     """docs with one document of each near-duplicate group, that of the least id, and all its columns.
 
+    found: the groups (id, component_id) if they are known; else those of near_duplicates.
+
     Documents are told apart by id, so rows with a null id stay. Rows that share an id are one
     document and one of them stays (the least text). The ids to drop are broadcast only when counted
     as few; only rows of shared ids are ever grouped.
     """
-    groups = written(near_duplicates(docs, id_col, text_col, words, max_bits).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "component_id"), "groups")
+    found = near_duplicates(docs, id_col, text_col, words, max_bits) if found is None else found
+    groups = written(found.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "component_id"), "groups")
     leaders = groups.groupBy("_id").agg(F.bool_or(F.col("_id") == F.col("component_id")).alias("leads"), F.count("*").alias("rows"))
     state = written(leaders.where("not leads or rows > 1"), "decisions")
     kept = without_ids(docs, state.where("not leads").select(F.col("_id").alias(id_col)), id_col)
