@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -61,7 +62,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = {t.content for t in added}
+        self.marks = re.compile(b"|".join(re.escape(c.encode()) for c in sorted(self.added, key=len, reverse=True))) if self.added else None
+        #: Texts may be cut; else some added token is looked for in another way than as a plain string, and texts stay whole.
+        self.cuts = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added)
         self.separator, self.separator_id = "", -1
         for mark in ("\n", " \u00bd "):
             alone = self.tokenizer.encode("a", add_special_tokens=False).ids
@@ -135,8 +140,9 @@ class Encoder:
         known, before = self.known, len(self.known)
         fresh = [s for s in segments if s not in known]
         mark = self.separator.strip(" ")
-        alone = [s for s in fresh if mark in s] if mark else []
-        for new, whole in ((fresh if not alone else [s for s in fresh if mark not in s], False), (alone, True)):
+        alone = fresh if not self.cuts else [s for s in fresh if mark in s or s in self.added] if mark else []
+        apart = set(alone)
+        for new, whole in ((fresh if not alone else [s for s in fresh if s not in apart], False), (alone, True)):
             if not new:
                 continue
             if whole:
@@ -149,6 +155,18 @@ class Encoder:
         self.again[places[places < before]] = True
         return places
 
+    def _around_added(self, data: np.ndarray, texts: np.ndarray, edges: np.ndarray) -> None:
+        """Set edges around each added token's string in a text and none in it: the tokenizer splits a text there first."""
+        if self.marks is None or not len(data):
+            return
+        raw = data.tobytes()
+        if not any(c.encode() in raw for c in self.added):
+            return
+        for start, end in zip(texts[:-1].tolist(), texts[1:].tolist()):
+            for m in self.marks.finditer(raw, start, end):
+                edges[m.start() + 1 : m.end()] = False
+                edges[[m.start(), m.end()]] = True
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each ended by end_id; offsets of the texts). Null: empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -160,7 +178,9 @@ class Encoder:
         edges = np.zeros(len(data) + 1, bool)
         edges[offsets] = True
         inside = np.flatnonzero(edges)
-        edges[_cuts(data)] = True
+        if self.cuts:
+            edges[_cuts(data)] = True
+            self._around_added(data, inside, edges)
         edges[inside] = True
         edges[len(data)] = True
         edges[0] = True
