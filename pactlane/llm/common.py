@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -122,6 +123,44 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows of equal keys, some at a time: the rows and the number of each row's group.
+
+    Batches come sorted by the keys; no more than a group and a batch is held.
+    """
+    held: list[pa.RecordBatch] = []
+    for b in chain(batches, [None]):
+        if b is not None and not b.num_rows:
+            continue
+        if b is not None:
+            held.append(b)
+            new = _edges(b, keys)
+            tail = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            if not tail and len(held) > 1 and _same(held[-2], b, keys):
+                continue
+            whole, rest = [*held[:-1], b.slice(0, tail)], [b.slice(tail)]
+        else:
+            whole, rest = held, []
+        whole = [x for x in whole if x.num_rows]
+        if whole:
+            t = pa.Table.from_batches(whole).combine_chunks()
+            yield t, np.cumsum(_edges(t, keys))
+        held = rest
+
+
+def _edges(t: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """Which rows differ in their keys from the row before."""
+    new = np.zeros(t.num_rows, bool)
+    for k in keys:
+        c = t.column(k).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _same(a: pa.RecordBatch, b: pa.RecordBatch, keys: list[str]) -> bool:
+    return all(a.column(k)[a.num_rows - 1].as_py() == b.column(k)[0].as_py() for k in keys)
+
+
 def hash_mod(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts (the fold rule of the labelled splits)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts

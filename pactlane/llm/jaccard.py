@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_PARTS, lookup, semi_by_id, ship, slices, written
+from .common import HOT_PARTS, grouped, lookup, semi_by_id, ship, slices, written
 from .graph import components
-from .simhash import SEED, fingerprint, hamming_links
+from .simhash import fingerprint, hamming_links
+from .textstats import Rolling, spans
 
 #: Least similarity as a fraction, so that bounds are whole numbers.
 NUM, DEN = 4, 5
@@ -21,8 +20,11 @@ NUM, DEN = 4, 5
 #: Documents on which common shingles are looked for, and how many of these are put last. They order the prefixes only; results don't depend on them.
 SAMPLE_DOCS, COMMON, COMMON_LEAST = 10_000, 20_000, 3
 
-#: Pairs that a worker compares at once.
-BLOCK = 1 << 20
+#: Texts of one shingle that a task compares at once (longer lists are compared block by block), and pairs that a worker makes at once.
+LIST_ROWS, BLOCK = 2_000, 1 << 20
+
+#: Shingles a bin of a sketch holds on average, at most.
+BIN = 16
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,124 +35,223 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles (lower-cased, ASCII white space splits).
+def shingles(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word shingles (lower-cased, ASCII white space splits).
 
     Fewer words than a shingle: the whole sequence; no word: none.
     """
-    w = text.lower().encode().split() if text else []
-    if not w:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, w, repeat(SEED)), np.uint64, len(w))
-    k = min(words, len(w))
-    out = np.full(len(w) - k + 1, k, np.uint64)
-    for j in range(k):
-        out = out * _K + h[j : len(w) - k + 1 + j]
-    return np.unique(_mixed(out))
-
-
-def signature(s: np.ndarray) -> int:
+    w = spans(pa.array([t.lower() if t else t for t in texts], pa.string()))
+    h = Rolling(w.data).hashes(w.at, w.lengths)
+    out, first = [], 0
+    whole = np.full(max(len(h) - words + 1, 0), words, np.uint64)
+    for j in range(words if len(whole) else 0):
+        whole = whole * _K + h[j : len(h) - words + 1 + j]
+    whole = _mixed(whole)
+    for n in np.bincount(w.doc, minlength=w.n).tolist():
+        if n >= words:
+            out.append(np.unique(whole[first : first + n - words + 1]))
+        else:
+            one = np.full(min(n, 1), n, np.uint64)
+            for x in h[first : first + n]:
+                one = one * _K + x
+            out.append(_mixed(one))
+        first += n
+    return out
+
+
+def signature(s: np.ndarray) -> np.uint64:
     """64-bit signature of a set of shingles; 0 for none."""
     if not len(s):
-        return 0
-    return int(_mixed(np.array([s.sum(dtype=np.uint64) * _K + np.bitwise_xor.reduce(_mixed(s + _K))], np.uint64))[0])
+        return np.uint64(0)
+    return _mixed(s.sum(keepdims=True) * _K + np.bitwise_xor.reduce(_mixed(s + _K), keepdims=True))[0]
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles fall in each of a power of two of bins (by their low bits), a byte each; empty if a bin overflows."""
+    if not len(s):
+        return b""
+    bins = 1 << max(4, int(len(s) // BIN).bit_length())
+    n = np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
 
 
-def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which two sets at the similarity surely share one: floor(n / 5) + 1 of n, those of common (most frequent first) last."""
-    if len(common) and len(s):
-        order = np.argsort(common)
-        at = np.minimum(np.searchsorted(common[order], s), len(common) - 1)
-        seen = common[order][at] == s
-        rank = np.where(seen, len(common) - order[at], 0)
-        s = s[np.lexsort((s, rank))]
-    return s[: len(s) - -(-len(s) * NUM // DEN) + 1] if len(s) else s
+def most_shared(x: bytes, y: bytes) -> int | None:
+    """Upper bound of the shingles two sets share, from their sketches; None if there is none."""
+    if not x or not y:
+        return None
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.minimum(a.reshape(-1, len(b)).sum(axis=0), b).sum())
 
 
-def _common(docs: DataFrame, total: int, words: int) -> np.ndarray:
+def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray] | tuple[()]) -> np.ndarray:
+    """The shingles of which two sets at the similarity surely share one: floor(n / 5) + 1 of n.
+
+    common: (places in order of frequency, most frequent first, of some shingles; these shingles, sorted); they come last.
+    """
+    if not len(s):
+        return s
+    wanted = len(s) - -(-len(s) * NUM // DEN) + 1
+    if len(common):
+        order, ordered = common
+        at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
+        seen = np.flatnonzero(ordered[at] == s)
+        if len(seen):
+            last = s[seen][np.argsort(-order[at[seen]], kind="stable")]
+            s = np.concatenate([np.delete(s, seen), last])
+    return s[:wanted]
+
+
+def _common(docs: DataFrame, total: int, words: int) -> tuple[np.ndarray, np.ndarray] | tuple[()]:
     """Shingles that several of a bounded sample of documents hold, most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            found = [shingles(t, words) for t in b.column("text").to_pylist()]
+            found = shingles(b.column("text").to_pylist(), words)
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
     parts = max(1, -(-total // SAMPLE_DOCS))
     some = docs.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == 0).select("text")
     counts = some.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
-    return counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    return (order, found[order]) if len(found) else ()
 
 
-def _profiles(docs: DataFrame, common: np.ndarray, words: int, simhash_words: int) -> DataFrame:
-    """(row, id, fp, sig, n, prefix) of every row of docs (row, id, text)."""
+def _profiles(docs: DataFrame, common: tuple, words: int, simhash_words: int) -> DataFrame:
+    """(row, id, fp, sig, n, sketch, prefix) of every row of docs (row, id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             texts = b.column("text").to_pylist()
             fp = np.array([fingerprint(t, simhash_words) for t in texts], np.uint64)
-            sets = [shingles(t, words) for t in texts]
+            sets = shingles(texts, words)
             sig = np.array([signature(s) for s in sets], np.uint64)
             heads = [prefix(s, common) for s in sets]
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(fp.view(np.int64)), pa.array(sig.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), flat], ["row", "id", "fp", "sig", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), b.column("id"), pa.array(fp.view(np.int64)), pa.array(sig.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), flat],
+                ["row", "id", "fp", "sig", "n", "sketch", "prefix"],
+            )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("row", "id", "text").mapInArrow(run, f"row bigint, id {kind}, fp bigint, sig bigint, n int, prefix array<bigint>")
-
-
-def _runs(key: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of signatures that share a key and whose sizes and places in the order allow the similarity, in blocks."""
-    order = np.lexsort((sig, n, key))
-    key, sig, n, pos = key[order], sig[order], n[order], pos[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])  # equal sets come side by side
-    key, sig, n, pos = key[new], sig[new], n[new].astype(np.int64), pos[new].astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    ends = np.concatenate([starts[1:], [len(key)]])
-    last = np.repeat(ends, ends - starts)
-    # Partners of i are the rows after it of the same key and of at most 5/4 its size.
-    at = np.arange(len(key))
-    group = np.repeat(np.arange(len(starts)), ends - starts)
+    return docs.select("row", "id", "text").mapInArrow(run, f"row bigint, id {kind}, fp bigint, sig bigint, n int, sketch binary, prefix array<bigint>")
+
+
+def _allowed(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
+    """Whether sizes and places of a shared shingle in the order allow the similarity."""
+    most = F.least(pos, pos2) + F.least(n - pos, n2 - pos2)
+    return (most * (NUM + DEN) >= NUM * (n + n2)) & (F.greatest(n, n2) * NUM <= F.least(n, n2) * DEN)
+
+
+def _lists(nodes: DataFrame) -> DataFrame:
+    """(key, n, sig, pos, sig2, n2, pos2): texts of each prefix shingle that more than one has, with the text before each in order of size.
+
+    Rows are sorted over all tasks by shingle and size, so a shingle of very many texts is spread over
+    as many tasks as it needs. A list that lies on the edge of two tasks keeps its rows, whatever their number.
+    """
+    columns = ["key", "n", "sig", "pos"]
+    postings = nodes.select("sig", "n", F.posexplode("prefix").alias("pos", "key")).select(*columns)
+    ordered = postings.repartitionByRange("key", "n", "sig").sortWithinPartitions("key", "n", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, None  # the row that waits for its follower, and the one before it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [b.column(c).to_numpy() for c in columns]
+            if last is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(last, now)]
+            key = now[0]
+            same = np.concatenate([[before is not None and before[0] == key[0]], key[1:] == key[:-1]])
+            edge = np.zeros(len(key), bool)
+            edge[0] = before is None
+            kept = (same | edge)[:-1] | same[1:]
+            yield out(now, before, same, np.flatnonzero(kept))
+            last, before = [x[-1:] for x in now], [x[-2] for x in now] if len(key) > 1 else before
+        if last is not None:
+            yield out(last, before, np.array([before is not None and before[0] == last[0][0]]), np.zeros(1, np.int64))
+
+    def out(now: list[np.ndarray], before: list | None, same: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        first = [now[k][:1] if before is None else np.array([before[k]], now[k].dtype) for k in range(4)]
+        prev = [np.concatenate([f, x[:-1]])[at] for f, x in zip(first, now)]
+        none = ~same[at]
+        arrays = [x[at] for x in now]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays] + [pa.array(prev[k], mask=none) for k in (2, 1, 3)], [*columns, "sig2", "n2", "pos2"])
+
+    return ordered.mapInArrow(run, "key bigint, n int, sig bigint, pos int, sig2 bigint, n2 int, pos2 int")
+
+
+def _pair(u: str, v: str) -> list[Column]:
+    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+
+
+def _runs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of each group that sizes and places in the order allow, in blocks.
+
+    Rows of one root make no pair, nor do rows of one part; part is -1 where all rows of a group are compared.
+    """
+    order = np.lexsort((n, group))
+    group, n, pos, root, part = (x[order].astype(np.int64) for x in (group, n, pos, root, part))
+    # Partners of i are the rows after it in its group of at most 5/4 its size.
     wide = (group << 32) + n
-    upto = np.minimum(np.searchsorted(wide, (group << 32) + n * DEN // NUM, side="right"), last)
-    many = upto - at - 1
-    some = np.flatnonzero(many > 0)
+    many = np.searchsorted(wide, (group << 32) + n * DEN // NUM, side="right") - np.arange(len(n)) - 1
     k = 0
-    while k < len(some):
-        sums = np.cumsum(many[some[k : k + BLOCK]])
+    while k < len(n):
+        sums = np.cumsum(many[k : k + BLOCK])
         take = max(1, int(np.searchsorted(sums, BLOCK, side="right")))
-        part = some[k : k + take]
+        own = np.arange(k, min(k + take, len(n)))
         k += take
-        i = np.repeat(part, many[part])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
-        most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-        ok = most * (NUM + DEN) >= NUM * (n[i] + n[j])
+        i = np.repeat(own, many[own])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
+        most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+        ok = (root[i] != root[j]) & ((part[i] < 0) | (part[i] != part[j])) & (most * (NUM + DEN) >= NUM * (n[i] + n[j]))
         if ok.any():
-            a, b = sig[i[ok]], sig[j[ok]]
-            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield order[i[ok]], order[j[ok]]
 
 
-def _candidates(profiles: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of signatures that the prefix filter can't tell apart."""
+def _across(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of signatures of different components that the prefix filter can't tell apart.
+
+    Lists of one component are done. A list of more than LIST_ROWS texts is cut into blocks, and each
+    two blocks of it are compared on their own.
+    """
+    rooted = lists.select("key", "n", "sig", "pos").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    rooted = written(rooted, "lists")
+    spread = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("one"), F.max("root").alias("other")).where("one != other")
+    total = rooted.count()
+    open_ = spread.select("key", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("blocks"), (F.col("rows") * HOT_PARTS > total).alias("hot"))
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sig"), F.col("blocks"))).otherwise(0).cast("int")
+    met = lookup(rooted, open_, "key", "hot").withColumn("part", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = met.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "n", "sig", "pos", "root", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(k).to_numpy() for k in range(4)] for b in batches]
-        if held:
-            for p in _runs(*(np.concatenate(x) for x in zip(*held))):
+        for t, group in grouped(batches, ["key", "a", "b"]):
+            n, sig, pos, root, part, a, b = (t.column(c).to_numpy() for c in ("n", "sig", "pos", "root", "part", "a", "b"))
+            for i, j in _runs(group, n, pos, root, np.where(a == b, -1, part)):
+                p = np.unique(np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["u", "v"])
 
-    postings = profiles.select("sig", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "sig", "n", "pos")
-    return postings.repartition("key").mapInArrow(run, "u bigint, v bigint").distinct()
+    return cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u bigint, v bigint").distinct()
+
 
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The pairs that reach the similarity: by sketches those that can't go first, the others by all shingles of one row of each signature."""
 
-def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, words: int) -> DataFrame:
-    """The pairs that reach the similarity, by all shingles of one row of each signature."""
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y, n in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("n").to_pylist()):
+                most = most_shared(x, y)
+                ok.append(most is None or most * (NUM + DEN) >= NUM * n)
+            yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
-            found = [shingles(t, words) for t in b.column("text").to_pylist()]
+            found = shingles(b.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([s.tobytes() for s in found], pa.binary())], ["row", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,43 +263,56 @@ def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, words: int
                 ok.append(both * (NUM + DEN) >= NUM * (len(x) + len(y)))
             yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-    reps = written(profiles.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("row")), "representatives")
-    n = reps.count()
-    held = semi_by_id(docs, reps.select("row"), "row", n).select("row", "text").mapInArrow(sets, "row bigint, s binary")
+    def beside(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        side = lambda u, x: of.select(F.col("sig").alias(u), *(F.col(c).alias(c[0] + x) for c in columns)).hint("shuffle_hash")
+        return pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
+
+    sized = beside(pairs, nodes, "sketch", "n").select("u", "v", F.col("sx").alias("x"), F.col("sy").alias("y"), (F.col("nx") + F.col("ny")).alias("n"))
+    left = written(sized.mapInArrow(possible, "u bigint, v bigint"), "pairs")
+    asked = left.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+    reps = written(nodes.select("sig", "row").join(asked, "sig", "left_semi"), "representatives")
+    held = semi_by_id(docs, reps.select("row"), "row", reps.count()).select("row", "text").mapInArrow(sets, "row bigint, s binary")
     of = written(held.join(reps, "row").select("sig", "s"), "shingles")
-    one = pairs.join(of.select(F.col("sig").alias("u"), F.col("s").alias("x")).hint("shuffle_hash"), "u").join(of.select(F.col("sig").alias("v"), F.col("s").alias("y")).hint("shuffle_hash"), "v")
-    return one.select("u", "v", "x", "y").mapInArrow(compare, "u bigint, v bigint")
+    return beside(left, of, "s").select("u", "v", F.col("sx").alias("x"), F.col("sy").alias("y")).mapInArrow(compare, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, simhash_words: int = 3, max_bits: int = 3) -> DataFrame:
     """One row a document: id and component_id (least id reachable over links).
 
-    Two texts are linked if the Jaccard similarity of their sets of word shingles is 0.8 or more, or
-    if their SimHash fingerprints are within max_bits. The first search misses no pair: sets at the
+    Two texts are linked if their SimHash fingerprints are within max_bits, or if the Jaccard similarity
+    of their sets of word shingles is 0.8 or more. The second search misses no pair: sets at the
     similarity share a shingle among the first floor(n / 5) + 1 of n in any common order; shingles
-    that a sample shows as common come last in it. Candidates that size and place in the order allow are verified
-    on all shingles, as 64-bit hashes. Texts of equal sets are one node, so copies cost one row in either search;
-    a shingle that many different texts of like size hold in their prefix makes that many candidate pairs.
+    that a sample shows as common come last in it. Texts that share one are first compared with their neighbours in
+    size only; what that and SimHash tie is one component, and only texts of different components are then
+    compared with each other, so a group of many near copies costs few pairs. Pairs that size, the place in the order
+    and a small sketch allow are verified on all shingles, as 64-bit hashes. Texts of equal sets are one node.
+    Texts of different components that share a shingle in their prefixes and are of like size do make a pair each.
 
     Nulls: a null or wordless text has no shingle and fingerprint 0, by which it is linked; a null id
-    stays and never becomes a component id (null only if no id of its component is known).
+    stays and never becomes a component id (null only if no id of its component is known). Repeated
+    rows stay. An empty table gives an empty result. Other columns are left out.
     """
     ship(docs.sparkSession)
     source = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "texts")
-    common = _common(source, source.count(), words)
+    total = source.count()
+    common = _common(source, total, words)
     profiles = written(_profiles(source, common, words, simhash_words), "profiles")
-    sets = written(profiles.groupBy("sig", "fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "sets")
-    total = sets.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    classes = written(sets.groupBy("fp").agg(F.min("sig").alias("node")), "classes")
-    pairs = written(_candidates(profiles), "candidates")
-    close = hamming_links(classes.select("fp"), "fp", max_bits)
+    nodes = written(profiles.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "sketch", "prefix"))), "nodes")
+    both = written(profiles.select("sig", "fp").distinct(), "fingerprints")
+    classes = written(both.groupBy("fp").agg(F.min("sig").alias("node"), F.count("*").alias("sigs")), "classes")
     node = lambda side: classes.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node"))
-    links = _verified(pairs, source, profiles, words).unionByName(close.join(node("u"), "u").join(node("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
-    links = links.unionByName(sets.join(classes, "fp").where("sig != node").select(F.col("sig").alias("u"), F.col("node").alias("v")))
-    roots = components(links)
-    by_sig = sets.groupBy("sig").agg(F.min("least").alias("least"), F.sum("rows").alias("rows"))
-    linked = by_sig.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = written(linked.join(least, "root").select("sig", "component_id", (F.col("rows") * HOT_PARTS > total).alias("hot")), "members")
-    return lookup(profiles.select("id", "sig"), members, "sig", "hot").select(F.col("id").alias(id_col), "component_id")
+    n_both = both.count()
+    of_class = lookup(both, classes.select("fp", "node", (F.col("sigs") * HOT_PARTS > n_both).alias("hot")), "fp", "hot")
+    alike = of_class.where("sig != node").select(F.col("sig").alias("u"), F.col("node").alias("v"))
+    close = hamming_links(classes.select("fp"), "fp", max_bits).join(node("u"), "u").join(node("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    lists = written(_lists(nodes), "postings")
+    beside = lists.where(F.col("sig2").isNotNull() & (F.col("sig") != F.col("sig2")) & _allowed(*map(F.col, ("n", "pos", "n2", "pos2")))).select(*_pair("sig", "sig2")).distinct()
+    first = components(alike.unionByName(close).unionByName(_verified(written(beside, "neighbours"), source, nodes, words)))
+    more = _verified(written(_across(lists, first), "candidates"), source, nodes, words)
+    roots = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    linked = nodes.select("sig", "least", "rows").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    members = written(linked, "members")
+    n_members = members.count()
+    least = members.groupBy("root").agg(F.min("least").alias("component_id"), (F.count("*") * HOT_PARTS > n_members).alias("hot"))
+    by_sig = written(lookup(members, least, "root", "hot").select("sig", "component_id", (F.col("rows") * HOT_PARTS > total).alias("hot")), "classes")
+    return lookup(profiles.select("id", "sig"), by_sig, "sig", "hot").select(F.col("id").alias(id_col), "component_id")

@@ -80,7 +80,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal fingerprints form a class first, so thousands of copies cost one row in the search. Links
     between classes become components by star contraction on written tables. A fingerprint with over
-    a thousandth of all rows is resolved by a broadcast of at most a thousand such rows.
+    a thousandth of all rows, and a component with over a thousandth of all fingerprints, is resolved
+    by a broadcast of at most a thousand such rows.
 
     Nulls: a null text counts as empty (fingerprint 0, linked like any other); a null id stays and
     never becomes a component id (null only if no id of its component is known). Repeated rows stay.
@@ -90,9 +91,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     roots = components(hamming_links(classes, "fp", max_bits))
-    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = written(linked.join(least, "root").select("fp", "component_id", F.col("n").alias("n_class"), (F.col("n") * HOT_PARTS > total).alias("hot")), "members")
+    linked = written(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "linked")
+    n_classes = linked.count()
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), (F.count("*") * HOT_PARTS > n_classes).alias("hot"))
+    by_fp = written(lookup(linked, least, "root", "hot").select("fp", "component_id", F.col("n").alias("n_class"), (F.col("n") * HOT_PARTS > total).alias("hot")), "members")
     out = lookup(fps, by_fp, "fp", "hot")
     return out.select(F.col("id").alias(id_col), "fp", "component_id", "n_class")
 

@@ -49,8 +49,24 @@ def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.DictionaryArray:
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
 
 
-def words(texts: pa.Array, separator: np.ndarray | None = None, lower: bool = False) -> Words:
-    """Words between ASCII white space (or the bytes separator marks) of every text, A-Z lower-cased on request; null: none."""
+@dataclass
+class Spans:
+    """Where the words of n texts lie in their (perhaps lower-cased) bytes: first byte and length of each, and its text."""
+
+    n: int
+    data: np.ndarray
+    offsets: np.ndarray
+    blank: np.ndarray
+    at: np.ndarray
+    lengths: np.ndarray
+    doc: np.ndarray
+
+
+def spans(texts: pa.Array, separator: np.ndarray | None = None, lower: bool = False, characters: bool = False) -> Spans:
+    """Words between ASCII white space (or the bytes separator marks) of every text, A-Z lower-cased on request; null: none.
+
+    With characters, each character of a script that puts no spaces between words is a word of its own.
+    """
     texts = pc.fill_null(texts.cast(pa.string()), "")
     if texts.offset:
         texts = pa.array(texts.to_pylist(), pa.string())
@@ -66,17 +82,58 @@ def words(texts: pa.Array, separator: np.ndarray | None = None, lower: bool = Fa
     first[1:] &= blank[:-1] if len(data) else first[1:]
     starts_doc = offsets[:-1][offsets[:-1] < offsets[1:]]
     first[starts_doc] = inside[starts_doc]
+    if characters and (data >= 0xE0).any():
+        begin, after = _unspaced(data)
+        first[begin] = True
+        first[after] = inside[after]
     at = np.flatnonzero(first)
-    if len(at):
-        last = inside
-        last[:-1] &= blank[1:] | first[1:]
-        lengths = np.flatnonzero(last) - at + 1
-        coded = _strings(data[~blank], lengths)
+    last = inside
+    last[:-1] &= blank[1:] | first[1:]
+    return Spans(n, data, offsets, blank, at, np.flatnonzero(last) - at + 1, np.searchsorted(offsets, at, side="right") - 1)
+
+
+def _unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of characters of Thai, Lao, Burmese, Khmer, Chinese and Japanese script, and the bytes after such characters."""
+    lead = np.flatnonzero((data >= 0xE0) & (data <= 0xF0))
+    kind, then = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
+    of = (kind >= 0xE3) & (kind <= 0xE9) | (kind == 0xE0) & (then >= 0xB8) & (then <= 0xBB) | (kind == 0xE1) & ((then >= 0x80) & (then <= 0x82) | (then == 0x9E) | (then == 0x9F)) | (kind == 0xF0) & (then >= 0xA0) & (then <= 0xB3)
+    begin = lead[of]
+    after = begin + np.where(kind[of] == 0xF0, 4, 3)
+    return begin, after[after < len(data)]
+
+
+def words(texts: pa.Array, separator: np.ndarray | None = None, lower: bool = False, characters: bool = False) -> Words:
+    """The words of spans() with the code of each and the distinct words."""
+    s = spans(texts, separator, lower, characters)
+    if len(s.at):
+        coded = _strings(s.data[~s.blank], s.lengths)
         code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     else:
         code, distinct = np.zeros(0, np.int64), pa.array([], pa.string())
-    doc = np.searchsorted(offsets, at, side="right") - 1
-    return Words(n, data, offsets, blank, code, doc, distinct, np.bincount(doc, minlength=n).astype(np.int64))
+    return Words(s.n, s.data, s.offsets, s.blank, code, s.doc, distinct, np.bincount(s.doc, minlength=s.n).astype(np.int64))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64)
+
+
+class Rolling:
+    """64-bit hashes of any stretches of some bytes, all bytes of a stretch read, from one pass over them."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data)
+        power, self.back = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _BACK, np.uint64)
+        power[0] = self.back[0] = 1
+        np.cumprod(power, out=power)
+        np.cumprod(self.back, out=self.back)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data] * power[:n], out=self.sums[1:])
+
+    def hashes(self, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        h = (self.sums[at + lengths] - self.sums[at]) * self.back[at] + lengths.astype(np.uint64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(27))
 
 
 def _window_keys(owner: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
