@@ -88,9 +88,12 @@ class Kernel:
         return (x @ self.landmarks.T.astype(np.float32)) / norm
 
     def margins(self, texts: pa.Array) -> np.ndarray:
-        data, offsets = _bytes(texts)
-        step = max(1, CELLS // max(self.landmarks.shape[1], 1))
-        out = [self.kernel(self.presence(data[offsets[i] : offsets[min(i + step, len(texts))]], offsets[i : i + step + 1] - offsets[i])) @ self.weights for i in range(0, len(texts), step)]
+        return self.margins_of(*_bytes(texts))
+
+    def margins_of(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """One row a text, one column a language; data are the lower-cased bytes of all texts."""
+        step, n = max(1, CELLS // max(self.landmarks.shape[1], 1)), len(offsets) - 1
+        out = [self.kernel(self.presence(data[offsets[i] : offsets[min(i + step, n)]], offsets[i : i + step + 1] - offsets[i])) @ self.weights for i in range(0, n, step)]
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -176,6 +179,7 @@ def predict(docs: DataFrame, model: Kernel, id_col: str = "doc_id", text_col: st
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; a null doc_id counts as held out, as it is never trained on."""
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, train(docs))
-    return found.select("doc_id", (hash_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(hash_mod("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
