@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hash_mod, ship, slices, table
@@ -150,12 +150,18 @@ def fit(texts: pa.Array, langs: list[str], landmarks: int = LANDMARKS, seed: int
 
 
 def train(docs: DataFrame, parts: int | None = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> Kernel:
-    """Fit on the rows of least id hash outside the held-out fold that have a language and a text of MAX_TRAIN_BYTES at most."""
+    """Fit on rows outside the held-out fold that have a language and a text of 1 to MAX_TRAIN_BYTES bytes.
+
+    Of each language those of least id hash are taken, languages in turn until there are max_rows, so a rare
+    language is learned too. Each (id, language) gives one row, that of its least text.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null")
     if parts:
         rows = rows.where(hash_mod("id", parts) != held_out)
-    few = rows.select("id", "lang").orderBy(F.xxhash64("id"), "id", "lang").limit(max_rows)
-    got = rows.join(F.broadcast(few.select("id").distinct()), "id").where(F.octet_length("text").between(1, MAX_TRAIN_BYTES)).select("text", "lang").toArrow()
+    rows = rows.where(F.octet_length("text").between(1, MAX_TRAIN_BYTES))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))  # each task cuts its rows to max_rows a language first
+    few = rows.select("id", "lang").withColumn("turn", turn).where(F.col("turn") <= max_rows).orderBy("turn", "lang").limit(max_rows).select("id", "lang").distinct()
+    got = rows.join(F.broadcast(few), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("text", "lang").toArrow()
     got = got.sort_by([("lang", "ascending"), ("text", "ascending")])  # the fit doesn't depend on the order in which rows arrive
     return fit(got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("lang").to_pylist())
 

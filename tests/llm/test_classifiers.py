@@ -225,3 +225,11 @@ def test_trained_operators_on_odd_rows(spark, odd, empty, no_labels, sf_dir):
         assert out.schema == odd.schema and out.count() <= odd.count()
     for f in (lambda d: quality_gam.score(d, quality_gam.train(d, no_labels)), lambda d: toxicity_cnn.score(d, toxicity_cnn.train(d, no_labels)), lambda d: rules_forest.apply(d, rules_forest.train(d, no_labels))):
         assert f(odd).count() == odd.count() and f(empty).count() == 0
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(k, "the house and the garden of the town " + "x" * (k % 3), "en") for k in range(400)] + [(1000 + k, "der garten und das haus in der stadt", "de") for k in range(5)]
+    docs = spark.createDataFrame([*rows, *[rows[0]] * 300, (9999, "y" * 20_000, "xx"), (None, "et la maison", "fr")], "doc_id bigint, text string, lang string")
+    model = langid_kernel.train(docs, None, max_rows=12)
+    assert model.languages == ["de", "en"]
+    assert langid_kernel.train(docs.limit(0), None).languages == []
