@@ -21,7 +21,7 @@ MAX_ROWS, MAX_TRAIN_BYTES, LANDMARKS = 6_000, 16 << 10, 128
 RIDGE, SHARPNESS, SEED = 1e-3, 4.0, 3
 
 #: Cells of the presence matrix that a worker holds at once.
-CELLS = 16 << 20
+CELLS = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
