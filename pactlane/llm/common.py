@@ -191,7 +191,7 @@ def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[pa.Array], np.n
     text = f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
+        for b in slices(batches, text, 1 << 20):
             yield b.filter(pa.array(np.asarray(verdict(b.column(text)), bool)))
 
     return docs.toDF(*plain.names).mapInArrow(run, plain).toDF(*docs.columns)

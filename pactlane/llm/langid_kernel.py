@@ -60,7 +60,7 @@ class Kernel:
         if self._tables is None:
             self._tables, first = {}, 0
             for n, codes in self.columns.items():
-                t = np.full(1 << (8 * n), -1, np.int32)
+                t = np.full(1 << (8 * n), -1, np.int16 if self.landmarks.shape[1] < 1 << 15 else np.int32)
                 t[codes] = np.arange(first, first + len(codes))
                 self._tables[n], first = t, first + len(codes)
         return self._tables
@@ -145,6 +145,7 @@ def fit(texts: pa.Array, langs: list[str], landmarks: int = LANDMARKS, seed: int
     phi = np.concatenate([model.kernel(model.presence(data[offsets[i] : offsets[min(i + step, len(y))]], offsets[i : i + step + 1] - offsets[i])) @ root for i in range(0, len(y), step)])
     weight = (len(y) / len(names) / np.bincount(y))[y][:, None]
     target = np.where(np.arange(len(names))[None, :] == y[:, None], 1.0, -1.0)
+    model._tables = None
     model.weights = root @ np.linalg.solve((phi * weight).T @ phi + RIDGE * len(y) * np.eye(phi.shape[1]), (phi * weight).T @ target)
     return model
 

@@ -50,7 +50,7 @@ def _writer(where: pa.NativeFile, kind: pa.DataType) -> pq.ParquetWriter:
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     """Encode every whole text, append end_id, and write the ids in ascending id order, one file a task.
 
-    Rows are range-partitioned by id and sorted within partitions, so file order is id order. Files
+    Rows are range-partitioned by id (then the text's start) and sorted within partitions, so file order is id order. Files
     carry a mark of the task's attempt, are renamed when complete, and only those of the attempts that
     counted are listed in the result. Only a line a file (names and counts) comes to the driver, for
     the offsets.
@@ -96,7 +96,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n_docs]), pa.array([start])], ["name", "docs", "tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # The start of the text and the row's place spread the rows of one id (or of none) over tasks; the order stays that of id and text.
+    placed = rows.withColumn("head", F.substring("text", 1, 64)).withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange("id", "head", "place").select("id", "text").sortWithinPartitions("id", "text")
     files, before = [], 0
     for name, n_docs, n in sorted(tuple(r) for r in ordered.mapInArrow(run, "name string, docs bigint, tokens bigint").collect()):
         files.append((name, n_docs, n, before))
