@@ -127,6 +127,7 @@ class _Compiled:
         self.value: Any = None
         self.error: Exception | None = None
         self.result: CheckResult | None = None
+        self.unsafe: str | None = None
         self.ms = 0.0
         self.done = False
 
@@ -134,19 +135,37 @@ class _Compiled:
         return self.aggregation in ("count", "none") and (self.check.unit or "rows").lower() == "rows" and not self.percent and self.check.kind != "custom"
 
 
+def cloned(parent: SparkSession) -> SparkSession:
+    """A session with the settings, registered functions, temporary views and current database of another, free to change.
+
+    Session cloning and frames of another session are no public API of Spark; both uses are here and in in_session().
+    """
+    return SparkSession(parent.sparkContext, parent._jsparkSession.cloneSession())
+
+
+def in_session(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A frame of one session as a frame of another."""
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed()), spark)
+
+
 class Engine:
-    """Runs the checks of a contract over the tables of its adapters, in a session of its own."""
+    """Runs the checks of a contract over the tables of its adapters, in a session of its own.
+
+    That session starts as the caller's is: time zone and all other settings, registered functions,
+    temporary views, current database. Only SETTINGS differ, and the caller's session never changes.
+    """
 
     def __init__(self, source: MultiSourceAdapter, use_try_cast: bool = True, max_failed_rows: int = -1) -> None:
         self.source, self.safe, self.max_failed_rows = source, use_try_cast, max_failed_rows
         first = next(a for a in source.adapters.values())
         self.parent: SparkSession = first.get_connection() if hasattr(first, "get_connection") else SparkSession.getActiveSession()
-        self.spark = self.parent.newSession()
+        self.spark = cloned(self.parent)
         for k, v in SETTINGS.items():
             self.spark.conf.set(k, v)
         self.schemas: dict[str, T.StructType] = {}
         self.problems: dict[str, Exception] = {}
         self.totals: dict[str, int] = {}
+        self._tables: dict[str, list[str]] = {}
         for name in source.schema_names:
             self._register(name)
 
@@ -157,8 +176,7 @@ class Engine:
         try:
             adapter = self.source.get_adapter(name) or next(iter(self.source.adapters.values()))
             df = adapter.table(name)
-            jdf = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.queryExecution().analyzed())
-            DataFrame(jdf, self.spark).createOrReplaceTempView(casts.name(name))
+            in_session(self.spark, df).createOrReplaceTempView(casts.name(name))
             self.schemas[name] = df.schema
             return True
         except Exception as e:
@@ -167,6 +185,11 @@ class Engine:
 
     def tables_of(self, query: str) -> list[str]:
         """Names of the tables that a query reads (not those it defines by WITH), from Catalyst's parser, else from the text."""
+        if query not in self._tables:
+            self._tables[query] = self._find_tables(query)
+        return self._tables[query]
+
+    def _find_tables(self, query: str) -> list[str]:
         try:
             tree = parsed(self.spark, query).toString()
             own = {x.strip() for names in re.findall(r"\bCTE \[([^\]]*)\]", tree) for x in names.split(",")}
@@ -245,9 +268,10 @@ class Engine:
                 safe = sqltext.normalise(query, True, types)
                 self.spark.sql(safe).schema
                 c.sql = safe
-            except Exception:
-                pass  # the query as it is written is run instead, and says what is wrong with it
-        validate_query_security(self.spark, c.sql)
+            except Exception as e:  # the query as it is written is run instead, and says what is wrong with it
+                c.unsafe = (str(e) or type(e).__name__).splitlines()[0]
+        if c.sql != query:
+            validate_query_security(self.spark, c.sql)
         c.aggregation = sqltext.aggregation_type(c.sql)
         c.rows_sql = sqltext.failed_rows_query(c.sql)
         if c.aggregation == "none":
@@ -362,6 +386,7 @@ class Engine:
         }
         if len(c.tables) > 1:
             out["multi_source"] = True
+        out["safe_casts_left_out"] = c.unsafe
         if isinstance(c.error, SQLSecurityError):
             out["security_violation"] = c.error.violation_type
         return {k: v for k, v in out.items() if v is not None}

@@ -178,6 +178,23 @@ def check_results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validated(spark, sf_dir, FLAGSHIP, statistics=True).get_check_results_df().select(*"check_name target status operator actual_value expected_value failed_rows_count".split())
 
 
+def _flagship_sql() -> str:
+    """DuckDB SQL of the flagship's table of checks: a count for each, and what follows from it."""
+    rows: list[tuple[str, str, str]] = []
+    breaks = {"minimum": "{0} < {1}", "maximum": "{0} > {1}", "multipleOf": "{0} % {1} <> 0"}
+    for p in FLAGSHIP["properties"]:
+        c = p["name"]
+        rows += [(f"{c}_{k}_check", c, "0") for k in ("column_exists", "logical_type")]  # the columns are there and of these types
+        rows += [(f"{c}_required_check", c, f"(SELECT count(*) FROM lineitem WHERE {c} IS NULL)")] if p.get("required") else []
+        rows += [(f"{c}_logical_type_options_{o}_check", c, f"(SELECT count(*) FROM lineitem WHERE {breaks[o].format(c, v)})") for o, v in p.get("logicalTypeOptions", {}).items()]
+    rows.append(("l_returnflag_invalidValues", "l_returnflag", "(SELECT count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N', 'R'))"))
+    rows.append(("lineitem_duplicateValues", "", "(" + _DUP.format("l_orderkey, l_linenumber", "lineitem", "l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL") + ")"))
+    counted = " UNION ALL ".join(f"SELECT '{n}' AS check_name, 'lineitem{'.' * bool(c)}{c}' AS target, CAST({q} AS BIGINT) AS n" for n, c, q in rows)
+    more = [("lineitem_rowCount", "mustBeGreaterThan", "SELECT count(*) FROM lineitem", "0"), ("discount_of_small_lines", "mustBeLessThan", "SELECT count(*) FROM lineitem WHERE l_discount > 0.05 AND l_quantity < 24", "1000000000")]
+    others = " UNION ALL ".join(f"SELECT '{n}', 'lineitem', CASE WHEN n {'>' if 'Greater' in op else '<'} {e} THEN 'PASSED' ELSE 'FAILED' END, '{op}', CAST(n AS VARCHAR), '{e}', CAST(0 AS BIGINT) FROM (SELECT ({q}) AS n)" for n, op, q, e in more)
+    return f"SELECT check_name, target, CASE WHEN n = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, 'mustBe' AS operator, CAST(n AS VARCHAR) AS actual_value, '0' AS expected_value, n AS failed_rows_count FROM ({counted}) UNION ALL {others}"
+
+
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = validated(spark, sf_dir, FLAGSHIP, statistics=True).summary["validation_summary"]
     return spark.createDataFrame([(s["total_checks"], s["passed"], s["failed"], s["errors"], s["total_rows_by_schema"]["lineitem"], s["failed_rows"])], "total_checks bigint, passed bigint, failed bigint, errors bigint, total_rows bigint, failed_rows bigint")
@@ -274,8 +291,86 @@ def streamed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found or [], T.StructType([T.StructField("check_name", T.StringType()), T.StructField("n", T.LongType())])).groupBy("check_name").agg(F.sum("n").alias("actual_value"))
 
 
+COMPARED = [(k, v) for k in ("mustBe", "mustNotBe", "mustBeGreaterThan", "mustBeGreaterOrEqualTo", "mustBeLessThan", "mustBeLessOrEqualTo") for v in (4, 5, 6)] + [(k, v) for k in ("mustBeBetween", "mustNotBeBetween") for v in ([3, 4], [4, 5], [5, 5], [6, 9])]
+
+
+def _met(k: str, v: Any) -> str:
+    """DuckDB condition of a comparison over n."""
+    sign = {"mustBe": "=", "mustNotBe": "<>", "mustBeGreaterThan": ">", "mustBeGreaterOrEqualTo": ">=", "mustBeLessThan": "<", "mustBeLessOrEqualTo": "<="}
+    return f"n {sign[k]} {v}" if k in sign else f"n {'NOT ' * (k == 'mustNotBeBetween')}BETWEEN {v[0]} AND {v[1]}"
+
+
+def comparison_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine makes of each comparison of the number of regions with values around it."""
+    rules = [{"name": f"c{i:02d}_{k}", "type": "sql", "query": "SELECT COUNT(*) FROM region", k: v} for i, (k, v) in enumerate(COMPARED)]
+    found = validated(spark, sf_dir, {"name": "region", "quality": rules}).check_results
+    return spark.createDataFrame([(c.check_name, c.actual_value, c.status) for c in found], "check_name string, actual_value bigint, status string")
+
+
+def sql_session_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A check that calls a function which the caller has registered in the session."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION pactlane_twice(x BIGINT) RETURNS BIGINT RETURN 2 * x")
+    return _scalar("sql_session_function", _rule("orders", "SELECT COUNT(*) FROM orders WHERE pactlane_twice(o_orderkey) > 1000"), "c")(spark, sf_dir)
+
+
+def src_session_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session as the source: the table is a temporary view of the caller's."""
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("pactlane_supplier")
+    r = validate_data(contract(_rule("pactlane_supplier", "SELECT COUNT(*) FROM pactlane_supplier WHERE s_acctbal < 0")), spark_session=spark).check_results[0]
+    return spark.createDataFrame([("src_session_catalog", r.actual_value)], "check_name string, actual_value bigint")
+
+
+def src_path_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path URI as the source of all schemas."""
+    found = validate_data(contract(*(_rule(t, f"SELECT COUNT(*) FROM {t}") for t in ("nation", "supplier"))), connection_str=f"parquet:{sf_dir}/{{table}}.parquet").check_results
+    return spark.createDataFrame([(c.metadata["schema_name"], c.actual_value) for c in found], "check_name string, actual_value bigint")
+
+
+def src_local_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pandas frame as the source."""
+    local = table(spark, sf_dir, "nation").toPandas()
+    r = validate_data(contract(_rule("nation", "SELECT COUNT(*) FROM nation WHERE n_regionkey > 2")), df=local).check_results[0]
+    return spark.createDataFrame([("src_local_frame", r.actual_value)], "check_name string, actual_value bigint")
+
+
+def column_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SQL rule of a column: the check's path and kind, and its count."""
+    schema = {"name": "part", "properties": [{"name": "p_size", "quality": [{"name": "big", "type": "sql", "query": "SELECT COUNT(*) FROM part WHERE p_size > 40", "mustBe": 0}]}]}
+    r = next(c for c in validated(spark, sf_dir, schema).check_results if c.check_name == "big")
+    return spark.createDataFrame([(r.check_name, r.metadata["target"], r.actual_value, r.failed_rows_count)], "check_name string, target string, actual_value bigint, failed_rows bigint")
+
+
+def error_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that can't be run are errors, each by itself: unknown metric, type and function, missing column and table, writes."""
+    bad = [
+        dict(name="metric", type="library", metric="noSuchMetric", mustBe=0), dict(name="kind", type="noSuchType", mustBe=0), dict(name="function", type="sql", query="SELECT no_such_function(r_name) FROM region", mustBe=0),
+        dict(name="table", type="sql", query="SELECT COUNT(*) FROM no_such_table", mustBe=0), dict(name="write", type="sql", query="DROP TABLE region", mustBe=0), dict(name="fine", type="sql", query="SELECT COUNT(*) FROM region", mustBe=5),
+    ]
+    schema = {"name": "region", "properties": [{"name": "no_such_column", "required": True}], "quality": bad}
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = validated(spark, sf_dir, schema)
+    return spark.createDataFrame([(c.check_name, c.status) for c in found.check_results], "check_name string, status string")
+
+
+def failed_rows_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """max_failed_rows caps the rows shown of a check, not its count."""
+    adapter = SparkAdapter(spark, {"part": table(spark, sf_dir, "part")})
+    r = validate_data(contract(_rule("part", "SELECT COUNT(*) FROM part WHERE p_size > 40")), adapter=adapter, config=ValidationConfig(max_failed_rows=7)).check_results[0]
+    return spark.createDataFrame([(r.actual_value, r.failed_rows.count())], "actual_value bigint, rows_shown bigint")
+
+
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks as reports show them (failed, errors, passed) with their marks in the summary."""
+    rules = [dict(name=n, type="sql", query=q, mustBe=5) for n, q in (("b_fine", "SELECT COUNT(*) FROM region"), ("a_fine", "SELECT COUNT(*) FROM region"), ("error", "SELECT COUNT(*) FROM region WHERE nothing = 1"), ("wrong", "SELECT COUNT(*) FROM region WHERE r_regionkey > 0"))]
+    found = validated(spark, sf_dir, {"name": "region", "quality": rules})
+    return spark.createDataFrame([(k, c.check_name, c.status, found.passed, found.has_errors) for k, c in enumerate(found.sorted_checks())], "place int, check_name string, status string, passed boolean, has_errors boolean")
+
+
 ROWS: dict[str, tuple[Query, str | None]] = {
-    "check_results_table": (check_results_table, None),
+    "check_results_table": (check_results_table, _flagship_sql()),
     "run_summary": (run_summary, "SELECT CAST(34 AS BIGINT) AS total_checks, CAST(34 - f AS BIGINT) AS passed, CAST(f AS BIGINT) AS failed, CAST(0 AS BIGINT) AS errors, n AS total_rows, CAST(d AS BIGINT) AS failed_rows FROM (SELECT (SELECT count(*) FROM lineitem) AS n, (" + _DUP.format("l_orderkey, l_linenumber", "lineitem", "TRUE") + ") AS d, (CASE WHEN (" + _DUP.format("l_orderkey, l_linenumber", "lineitem", "TRUE") + ") > 0 THEN 1 ELSE 0 END) AS f)"),
     "failed_rows_required": (failed_rows_required, f"WITH {ORDERS_D} SELECT * EXCLUDE (key_d) FROM orders_d WHERE o_orderstatus IS NULL"),
     "failed_rows_duplicates": (failed_rows_duplicates, "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1"),
@@ -286,7 +381,16 @@ ROWS: dict[str, tuple[Query, str | None]] = {
     "schema_breakdown": (schema_breakdown, f"WITH {ORDERS_D} SELECT CAST(5 AS BIGINT) AS checks, CAST(2 AS BIGINT) AS passed, CAST(4 AS BIGINT) AS single_checks, (SELECT count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders_d WHERE {_BAD})) AS failed_unique_rows, CAST(1 AS BIGINT) AS multi_checks, (SELECT count(*) FROM orders_d o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_custkey IS NULL OR c.c_acctbal < 0) AS failed_non_unique_rows"),
     "row_count_capped": (row_count_capped, "SELECT 'row_count_capped' AS check_name, (SELECT count(*) FROM (SELECT 1 FROM lineitem LIMIT 1000)) AS actual_value"),
     "operator_matrix": (operator_matrix, " UNION ALL ".join(f"SELECT '{k}' AS operator, count(*) FILTER (WHERE {c}) AS orders_met FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)" for k, c in {"mustBe": "n = 4", "mustNotBe": "n <> 4", "mustBeGreaterThan": "n > 4", "mustBeGreaterOrEqualTo": "n >= 4", "mustBeLessThan": "n < 4", "mustBeLessOrEqualTo": "n <= 4", "mustBeBetween": "n BETWEEN 2 AND 4", "mustNotBeBetween": "n NOT BETWEEN 2 AND 4"}.items())),
-    "security_gate": (security_gate, None),
+    "security_gate": (security_gate, "SELECT * FROM (VALUES (0, 'accepted'), (1, 'accepted'), (2, 'empty_query'), (3, 'accepted'), (4, 'write_operation'), (5, 'write_operation'), (6, 'injection_statement_stacking'), (7, 'injection_union_injection'), (8, 'injection_union_injection'), (9, 'injection_time_based_injection'), (10, 'injection_schema_probing'), (11, 'injection_file_operation'), (12, 'write_operation'), (13, 'accepted')) AS t(probe, verdict)"),
+    "comparison_statuses": (comparison_statuses, " UNION ALL ".join(f"SELECT 'c{i:02d}_{k}' AS check_name, n AS actual_value, CASE WHEN {_met(k, v)} THEN 'PASSED' ELSE 'FAILED' END AS status FROM (SELECT count(*) AS n FROM region)" for i, (k, v) in enumerate(COMPARED))),
+    "sql_session_function": (sql_session_function, _sql("sql_session_function", "SELECT count(*) FROM orders WHERE 2 * o_orderkey > 1000", "BIGINT")),
+    "src_session_catalog": (src_session_catalog, "SELECT 'src_session_catalog' AS check_name, count(*) AS actual_value FROM supplier WHERE s_acctbal < 0"),
+    "src_path_uri": (src_path_uri, "SELECT 'nation' AS check_name, count(*) AS actual_value FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier"),
+    "src_local_frame": (src_local_frame, "SELECT 'src_local_frame' AS check_name, count(*) AS actual_value FROM nation WHERE n_regionkey > 2"),
+    "column_sql": (column_sql, "SELECT 'big' AS check_name, 'part.p_size' AS target, count(*) AS actual_value, count(*) AS failed_rows FROM part WHERE p_size > 40"),
+    "error_statuses": (error_statuses, "SELECT * FROM (VALUES ('kind', 'ERROR'), ('no_such_column_column_exists_check', 'ERROR'), ('no_such_column_required_check', 'ERROR'), ('metric', 'ERROR'), ('function', 'ERROR'), ('table', 'ERROR'), ('write', 'ERROR'), ('fine', 'PASSED')) AS t(check_name, status)"),
+    "failed_rows_limited": (failed_rows_limited, "SELECT count(*) AS actual_value, least(count(*), 7) AS rows_shown FROM part WHERE p_size > 40"),
+    "report_order": (report_order, "SELECT * FROM (VALUES (0, 'wrong', 'FAILED', FALSE, TRUE), (1, 'error', 'ERROR', FALSE, TRUE), (2, 'a_fine', 'PASSED', FALSE, TRUE), (3, 'b_fine', 'PASSED', FALSE, TRUE)) AS t(place, check_name, status, passed, has_errors)"),
     "custom_engine": (custom_engine, "SELECT 'largest_size' AS check_name, count(*) AS actual_value, CASE WHEN count(*) = 0 THEN 'PASSED' ELSE 'FAILED' END AS status, count(*) AS rows FROM part WHERE p_size > 45"),
     "streamed_batches": (streamed_batches, "SELECT 'value_column_exists_check' AS check_name, CAST(0 AS BIGINT) AS actual_value UNION ALL SELECT 'value_logical_type_options_maximum_check', (SELECT count(*) FROM events WHERE value > 100) UNION ALL SELECT 'event_type_column_exists_check', 0 UNION ALL SELECT 'event_type_required_check', (SELECT count(*) FROM events WHERE event_type IS NULL)"),
 }
