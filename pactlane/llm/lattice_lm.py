@@ -181,21 +181,23 @@ def log_probabilities(vocab: Vocabulary, expected: np.ndarray, texts: float) ->
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) of every word of docs(text, train): its uses in the rows to train on (0 for a word of the others only)."""
+    """(word, c, uses) of every word of docs(text, train): its uses in the rows to train on (0 for a word of the others only) and in all rows."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
             w = words(b.column("text"), lower=True)
             used = b.column("train").to_numpy(zero_copy_only=False)[w.doc] if len(w.doc) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([w.distinct, pa.array(np.bincount(w.code[used], minlength=len(w.distinct)).astype(np.int64))], ["word", "c"])
+            counts = [pa.array(np.bincount(code, minlength=len(w.distinct)).astype(np.int64)) for code in (w.code[used], w.code)]
+            yield pa.RecordBatch.from_arrays([w.distinct, *counts], ["word", "c", "uses"])
 
-    return docs.select("text", "train").mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text", "train").mapInArrow(run, "word string, c bigint, uses bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses"))
 
 
-def _hot_from(counts: DataFrame, most: int) -> int:
+def _hot_from(counts: DataFrame, most: int, by: str = "c") -> int:
     """The least count such that at most that many words have it or more (from a histogram by quarter powers of two)."""
-    steps = counts.where("c > 0").groupBy(F.floor(4 * F.log2(F.col("c").cast("double"))).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    c = F.col(by)
+    steps = counts.where(c > 0).groupBy(F.floor(4 * F.log2(c.cast("double"))).alias("b")).agg(F.count("*").alias("n"), F.min(c).alias("c")).collect()
     held, least = 0, 1 << 62
     for r in sorted(steps, key=lambda r: -r["b"]):
         held += r["n"]
@@ -215,7 +217,7 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     space included; no piece crosses a space) and the end of text. base_score is the add-one unigram
     score of the same words and the end.
 
-    Each distinct word is scored once. Frequent words (at most hot_words of them) are looked up in a
+    Each distinct word is scored once. Words of many uses (at most hot_words of them) are looked up in a
     broadcast table; the rest of each document's words meet their counts by a shuffle join and are
     summed by row before the last shuffle.
 
@@ -232,10 +234,10 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     texts = docs.where(~fold).count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     train_tokens, floor = total + texts, np.log10(total + texts + (distinct + (texts > 0)) + 1)
-    least = _hot_from(counts, hot_words)
+    least = _hot_from(counts, hot_words, "uses")  # by uses in all rows, so that a word of held-out rows only can't be a hot key of the join either
     vocab = load(vocabulary_path)
-    hot = counts.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
-    warm = counts.where(F.col("c") >= _hot_from(counts, WARM_WORDS)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    hot = counts.where(F.col("uses") >= least).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    warm = counts.where(F.col("c") >= _hot_from(counts, WARM_WORDS)).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     logp = log_probabilities(vocab, np.zeros(vocab.size), 0)
     for _ in range(WARM_ROUNDS):
         logp = log_probabilities(vocab, expectations(vocab, logp, warm.column("word").to_pylist(), warm.column("c").to_numpy().astype(np.float64)), texts)
@@ -250,7 +252,7 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
             at = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["piece", "uses"])
 
-    uses = counts.where("c > 0").mapInArrow(expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+    uses = counts.where("c > 0").select("word", "c").mapInArrow(expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
     expected = np.zeros(vocab.size)
     expected[uses.column("piece").to_numpy()] = uses.column("uses").to_numpy()
     fitted = log_probabilities(vocab, expected, texts)
@@ -261,7 +263,7 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
         for b in gathered(batches, WORDS_AT_ONCE):
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(word_scores(vocab, final.value, b.column("word").to_pylist()))], ["word", "c", "lp"])
 
-    rare = written(counts.where(F.col("c") < least).mapInArrow(scored, "word string, c bigint, lp double"), "rare-words")
+    rare = written(counts.where(F.col("uses") < least).select("word", "c").mapInArrow(scored, "word string, c bigint, lp double"), "rare-words")
     frequent = spark.sparkContext.broadcast((hot.column("word").combine_chunks().cast(pa.string()) if hot.num_rows else pa.array([], pa.string()), np.append(hot.column("c").to_numpy(), 0), np.append(word_scores(vocab, fitted, hot.column("word").to_pylist()), 0.0)))
     end_base, end_score = float(np.log10(texts + 1) - floor), float(fitted[vocab.end] / np.log(10))
     floor = float(floor)
@@ -276,7 +278,7 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
             doc, at = w.doc[here], at[here]
             n = w.n
             sums = [
-                w.per_doc + 1, np.bincount(doc, minlength=n) + int(texts > 0), np.bincount(doc, np.log10(count[at] + 1) - floor, n) + end_base, np.bincount(doc, lp[at], n) + end_score,
+                w.per_doc + 1, np.bincount(doc[count[at] > 0], minlength=n) + int(texts > 0), np.bincount(doc, np.log10(count[at] + 1) - floor, n) + end_base, np.bincount(doc, lp[at], n) + end_score,
             ]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:3]), *(pa.array(s.astype(np.int64) if i < 2 else s) for i, s in enumerate(sums)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names)
             pairs, uses = np.unique(w.doc[~here] * (len(w.distinct) + 1) + w.code[~here], return_counts=True)

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HOT_PARTS, lookup, shared_dir, ship, table, written
+from .common import BROADCAST_ROWS, HOT_PARTS, lookup, shared_dir, ship, slices, table, written
 
 MAGIC = b"\x1f\x8b\x08"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -23,8 +23,8 @@ DATE = "2024-01-01T00:00:00Z"
 #: Bytes of a file after which a writer starts the next, bytes of a reader's range, and bytes read at once.
 FILE_BYTES, RANGE_BYTES, CHUNK = 256 << 20, 16 << 20, 512 << 10
 
-#: Bytes that are inflated at once.
-PIECE = 16 << 10
+#: Bytes that are inflated at once, bytes over which members must follow one another from a candidate on, and tasks of a reader at most.
+PIECE, CHAIN, MAX_TASKS = 16 << 10, 192 << 10, 20_000
 
 
 def payload_digest(payload: bytes) -> str:
@@ -80,7 +80,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     ship(pages.sparkSession)
     later = written(first_pages(pages, id_col, payload_col, least_bytes).distinct(), "revisits")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
-    marked = rows.join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, "id", "left").select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("first").cast("string").alias("first"))
+    named = rows.where("id is not null").join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, "id", "left")
+    marked = named.unionByName(rows.where("id is null"), allowMissingColumns=True).select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("first").cast("string").alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -95,7 +96,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             done.append((name, n, size))
             out, n, size = None, 0, 0
 
-        for b in batches:
+        for b in slices(batches, "payload", 8 << 20):
             for i, url, payload, first in zip(*(b.column(c).to_pylist() for c in ("id", "url", "payload", "first"))):
                 if out is None:
                     tmp = f"{base}/_tmp-{part:06d}-{uuid.uuid4().hex}"
@@ -130,17 +131,51 @@ class _Window:
         return self.data[off : off + n]
 
 
+def _member_end(window: _Window, pos: int, limit: int | None = None, out: list[bytes] | None = None) -> int | None:
+    """Where the gzip member at pos ends; None if the file ends first, limit if it goes on beyond it; zlib.error if there is none.
+
+    out gets the decoded bytes if they begin as a WARC record does.
+    """
+    z, at, head, keep = zlib.decompressobj(31), pos, b"", out is not None
+    while not z.eof:
+        if limit is not None and at > limit:
+            return limit
+        data = window.at(at, PIECE)
+        if not data:
+            return None
+        got = z.decompress(data)
+        if keep:
+            out.append(got)
+            head = head + got[:7] if len(head) < 7 else head
+            if len(head) >= 7 and not head.startswith(b"WARC/1."):
+                out.clear()
+                keep = False
+        at += len(data) - len(z.unused_data)
+    return at
+
+
 def _begins(window: _Window, pos: int) -> bool:
-    """Whether a member that decodes to a WARC header starts at pos."""
-    z = zlib.decompressobj(31)
-    try:
-        return z.decompress(window.at(pos, 4096), 8).startswith(b"WARC/1.")
-    except zlib.error:
-        return False
+    """Whether members follow one another from pos on, to the file's end or for CHAIN bytes.
+
+    Bytes that only look like members lie in the stored blocks of a true one (an archive as a payload), which
+    are 64 KB long at most, so what begins there breaks off or fails its check sum before that. Zero bytes may end the file.
+    """
+    at = pos
+    while at < window.size and at <= pos + CHAIN:
+        if window.at(at, 3) != MAGIC:
+            return at > pos and not window.at(at, window.size - at).strip(b"\0") if window.size - at <= CHAIN else False
+        try:
+            end = _member_end(window, at, pos + CHAIN)
+        except zlib.error:
+            return False
+        if end is None or end == pos + CHAIN:
+            return True
+        at = end
+    return True
 
 
 def _next(window: _Window, pos: int, end: int) -> int:
-    """First true record start in [pos, end), or end."""
+    """First true member start in [pos, end), or end."""
     while pos < end:
         data = window.at(pos, min(CHUNK, end + 2 - pos))
         if len(data) < 3:
@@ -160,25 +195,26 @@ def _next(window: _Window, pos: int, end: int) -> int:
 def records(f: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, header fields, block) of the records that start in [start, end) of a file of gzip members.
 
-    The first is found by scanning for the gzip magic and decoding the candidate's header; after a
-    member that decodes whole, the next begins where it ends. A candidate that decodes to a WARC header but breaks off is
-    reported as an error, never skipped.
+    The first member is found by scanning for the gzip magic; a candidate counts if members follow one
+    another from it on (see _begins). The next one begins where it ends. Members that are no WARC record are stepped
+    over. A member that breaks off at the file's end, and a record whose header lacks a type, an id or a length that
+    fits, are reported as errors, never skipped.
     """
     window = _Window(f, start, size)
     pos = _next(window, start, end)
     while pos < end:
-        z, out, at = zlib.decompressobj(31), [], pos
-        while not z.eof:
-            data = window.at(at, PIECE)
-            if not data:
-                raise ValueError(f"the record at {pos} breaks off")
-            out.append(z.decompress(data))
-            at += len(data) - len(z.unused_data)
-        raw = b"".join(out)
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-        yield pos, fields, rest[: int(fields["Content-Length"])]
-        pos = at if at >= end or _begins(window, at) else _next(window, at, end)
+        out: list[bytes] = []
+        at = _member_end(window, pos, None, out)
+        if at is None:
+            raise ValueError(f"the record at {pos} breaks off")
+        if out:
+            head, _, rest = b"".join(out).partition(b"\r\n\r\n")
+            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
+            n = fields.get("Content-Length", "")
+            if not n.isdigit() or len(rest) < int(n) or rest[int(n) :].strip(b"\r\n") or "WARC-Type" not in fields or "WARC-Record-ID" not in fields:
+                raise ValueError(f"the record at {pos} has no type, id or length that fits")
+            yield pos, fields, rest[: int(n)]
+        pos = at if at >= end or window.at(at, 3) == MAGIC else _next(window, at, end)
 
 
 def ranges(spark: SparkSession, folder: str, files: DataFrame | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -190,7 +226,7 @@ def ranges(spark: SparkSession, folder: str, files: DataFrame | None = None, ran
     steps = F.explode(F.expr(f"sequence(0L, bytes - 1, {range_bytes}L)"))
     cut = files.where("bytes > 0").select("file", F.col("bytes").alias("size"), steps.alias("start"))
     cut = cut.withColumn("end", F.least(F.col("start") + range_bytes, "size"))
-    return cut.repartition(max(1, cut.count()), F.xxhash64("file", "start"))
+    return cut.repartitionByRange(min(max(1, cut.count()), MAX_TASKS), "file", "start")
 
 
 def read(spark: SparkSession, folder: str, files: DataFrame | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
