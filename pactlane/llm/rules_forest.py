@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, table
-from .labelled import sample
+from .common import dropped, ship, slices, table, written
 from .textstats import rule_stats, words
 
 TREES, SAMPLE, SEED = 100, 256, 7
@@ -73,8 +72,13 @@ def weights(x: np.ndarray, good: np.ndarray) -> np.ndarray:
         values, at, n = np.unique(column, return_inverse=True, return_counts=True)
         rank = (np.cumsum(n) - (n - 1) / 2)[at]
         area.append((rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum()))
-    apart = np.abs(2 * np.array(area) - 1)
-    return np.where(apart > 0.05, apart**2, 0) if (apart > 0.05).any() else np.ones(x.shape[1])
+    return _drawn(np.array(area))
+
+
+def _drawn(area: np.ndarray) -> np.ndarray:
+    """Weights from the share of (good, bad) pairs in which the good row has the greater value, ties by half."""
+    apart = np.abs(2 * area - 1)
+    return np.where(apart > 0.05, apart**2, 0) if (apart > 0.05).any() else np.ones(len(area))
 
 
 def grow(x: np.ndarray, draw: np.ndarray | None = None, trees: int = TREES, size: int = SAMPLE, seed: int = SEED) -> Forest:
@@ -135,17 +139,132 @@ def _stats(rows: DataFrame, keep: str) -> DataFrame:
     return rows.select(*names, "text").mapInArrow(run, f"{keep}, " + ", ".join(f"{c} bigint" for c in STATS))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 4_000) -> Forest:
-    """Grow the forest on a bounded labelled sample's rows that pass the base limits, and calibrate on all of them that do.
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every whole text."""
+    return _stats(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), f"id {docs.schema[id_col].dataType.simpleString()}")
+
 
-    Bad rows enter the forest only as BAD_SHARE of the good ones, so that they stay few and isolated.
+def areas(rows: DataFrame) -> np.ndarray:
+    """Of each signal of rows (y, x0, x1, ...): the share of (good, bad) pairs in which the good row has the greater value, ties by half.
+
+    Values are counted, sorted by range and counted through a part at a time; the driver gets a row a part.
     """
-    rows = _stats(sample(docs, labels, label, None, 0, id_col, text_col, per_class), "y int").toPandas().sort_values(["y", *STATS])
-    s = {c: rows[c].to_numpy(np.int64) for c in STATS}
-    passed = ~base_failed(s)
-    x, good = signals(s)[passed], rows["y"].to_numpy()[passed] == 1
-    few = np.random.default_rng(SEED).permutation(np.flatnonzero(~good))[: int(np.ceil(BAD_SHARE * good.sum()))]
-    return calibrate(grow(np.concatenate([x[good], x[few]]), weights(x, good)), x, good)
+    names = [c for c in rows.columns if c.startswith("x")]
+    pairs = F.array(*(F.struct(F.lit(k).alias("j"), F.col(c).alias("v")) for k, c in enumerate(names)))
+    counts = rows.select("y", F.explode(pairs).alias("p")).groupBy("p.j", "p.v").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[float, float, float, float]] = {}
+        for b in batches:
+            j, v, good, bad = (b.column(c).to_numpy().astype(np.float64) for c in ("j", "v", "good", "bad"))
+            for k in np.unique(j).astype(int).tolist():
+                at = j == k
+                first, n1, n0, won = held.get(k, (float(v[at][0]), 0.0, 0.0, 0.0))
+                below = n0 + np.cumsum(bad[at]) - bad[at]
+                held[k] = first, n1 + good[at].sum(), n0 + bad[at].sum(), won + (good[at] * (below + bad[at] / 2)).sum()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), *(pa.array([h[i] for h in held.values()], pa.float64()) for i in range(4))], ["j", "first", "good", "bad", "won"])
+
+    parts = counts.repartitionByRange("j", "v").sortWithinPartitions("j", "v").mapInArrow(run, "j int, first double, good double, bad double, won double").collect()
+    out = np.zeros(len(names))
+    for k in range(len(names)):
+        good = bad = won = 0.0
+        for p in sorted((p for p in parts if p.j == k), key=lambda p: p.first):
+            won += p.won + p.good * bad
+            good, bad = good + p.good, bad + p.bad
+        out[k] = won / (good * bad) if good * bad else 0.5
+    return out
+
+
+def _largest(keys: DataFrame, k: int) -> int:
+    """The key (not negative) that k keys of the table precede in descending order, found 14 bits at a time."""
+    prefix = None
+    for shift in (42, 28, 14, 0):
+        within = keys if prefix is None else keys.where(F.shiftright("key", shift + 14) == prefix)
+        for b, n in sorted(((r.b, r["count"]) for r in within.groupBy(F.shiftright("key", shift).alias("b")).count().collect()), reverse=True):
+            if k < n:
+                prefix = b
+                break
+            k -= n
+    return prefix
+
+
+def threshold(scored: DataFrame, n_good: int, most: float = MAX_GOOD_REJECTED) -> float:
+    """What calibrate() sets, from a table (y, score, key) of any size; key: the bits of the score as an integer, in its order."""
+    lost = int(most * n_good)
+    lost += (lost + 1) / n_good <= most
+    lost -= lost / n_good > most
+    least = float(np.array([_largest(scored.where("y = 1"), lost)], np.int64).view(np.float64)[0])
+    good, bad = scored.where("y = 1"), scored.where("y = 0")
+    edge = 0.0 if least <= 0 else bad.where(F.col("score") >= least).agg(F.min("score")).first()[0]
+    if edge is None:
+        return 1.0
+    upper = bad.where(F.col("score") > edge).agg(F.coalesce(F.min("score"), F.lit(1.0))).first()[0]
+    below = good.where(F.col("score") <= upper).agg(F.coalesce(F.max("score"), F.lit(0.0))).first()[0]
+    return float((max(edge, below) + upper) / 2)
+
+
+def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id") -> Forest:
+    """The forest of all labelled rows of statistics() that pass the base limits.
+
+    How often a signal is drawn and the threshold are counted over every such row. A tree isolates SAMPLE rows, as the
+    method has it; as many rows as all trees take together, those of least id hash, are drawn for them, and bad rows only
+    as BAD_SHARE of the good ones, so that they stay few and isolated.
+
+    A null label or id is left out; an id that is labelled twice counts by its least label, one with several rows by the least statistics.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label).cast("int").alias("y"))
+    one = stats.where("id is not null").groupBy("id").agg(F.min(F.struct(*STATS)).alias("s")).join(known, "id").select(F.xxhash64(F.lit(SEED), "id").alias("h"), "y", "s.*")
+    names = [f"x{k}" for k in range(len(STATS))]
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = {c: b.column(c).to_numpy() for c in STATS}
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), *map(pa.array, signals(s).T.astype(np.float64))], ["h", "y", *names]).filter(pa.array(~base_failed(s)))
+
+    rows = written(one.mapInArrow(passed, "h bigint, y int, " + ", ".join(f"{c} double" for c in names)), "rule-rows")
+    n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+
+    def drawn(y: int, most: int) -> np.ndarray:
+        x = rows.where(F.col("y") == y).orderBy("h", *names).limit(most).select(*names).toPandas().to_numpy(np.float64)
+        return x[np.lexsort(x.T[::-1])]
+
+    both = bool(n.get(0) and n.get(1))
+    good = drawn(1, TREES * SAMPLE)
+    forest = grow(np.concatenate([good, drawn(0, int(np.ceil(BAD_SHARE * len(good))))]), _drawn(areas(rows)) if both else None)
+    if both:
+        shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                s = shared.value.score(np.stack([b.column(c).to_numpy() for c in names], axis=1))
+                yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(s), pa.array(s.view(np.int64))], ["y", "score", "key"])
+
+        scored = written(rows.mapInArrow(score, "y int, score double, key bigint"), "rule-scores")
+        forest.threshold = threshold(scored, n[1])
+        dropped(scored)
+    dropped(rows)
+    return forest
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Forest:
+    """learn() from the statistics of docs."""
+    return learn(statistics(docs, id_col, text_col), labels, label, id_col)
+
+
+def judge(stats: DataFrame, forest: Forest) -> DataFrame:
+    """The rows of statistics() with base_failed, kept and anomaly."""
+    ship(stats.sparkSession)
+    shared = stats.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = {c: b.column(c).to_numpy() for c in STATS}
+            failed, score = base_failed(s), shared.value.score(signals(s))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(failed), pa.array(~failed & (score <= shared.value.threshold)), pa.array(score)], [*b.schema.names, "base_failed", "kept", "anomaly"])
+
+    kind = stats.schema["id"].dataType.simpleString()
+    return stats.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} bigint" for c in STATS) + ", base_failed boolean, kept boolean, anomaly double")
 
 
 def apply(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,23 +273,10 @@ def apply(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     A null or empty text has no words and fails. Null ids and repeated rows are kept; other columns
     are left out; an empty table gives no rows.
     """
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            s = rule_stats(words(b.column("text")))
-            failed, score = base_failed(s), shared.value.score(signals(s))
-            kept = ~failed & (score <= shared.value.threshold)
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(s[c]) for c in STATS), pa.array(failed), pa.array(kept), pa.array(score)], ["id", *STATS, "base_failed", "kept", "anomaly"])
-
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, " + ", ".join(f"{c} bigint" for c in STATS) + ", base_failed boolean, kept boolean, anomaly double"
-    )
-    return out.withColumnRenamed("id", id_col)
+    return judge(statistics(docs, id_col, text_col), forest).withColumnRenamed("id", id_col)
 
 
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return apply(docs, train(docs, table(spark, sf_dir, "labels")))
+    """Statistics of all documents are written once; the forest learns from those of labelled rows and judges all."""
+    stats = written(statistics(table(spark, sf_dir, "documents")), "rule-stats")
+    return judge(stats, learn(stats, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
