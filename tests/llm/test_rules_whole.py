@@ -35,3 +35,21 @@ def test_threshold_of_few_or_tied_scores(spark):
         fixed = rf.Forest(None, None, None, 1.0)
         fixed.score = lambda x: x[:, 0]
         assert rf.threshold(rows, len(good), most) == rf.calibrate(fixed, s[:, None], y == 1, most).threshold
+
+
+def test_rows_sent_for_the_trees_do_not_grow(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(k, " ".join("x" * rng.randint(1, 9) for _ in range(20 + k % 2 * 9))) for k in range(3_000)], "doc_id bigint, text string").repartition(6)
+    labels = docs.selectExpr("doc_id", "doc_id % 2 quality")
+    monkeypatch.setattr(rf, "TREES", 1)  # 256 rows for all trees
+    sent, limit = [], type(docs).limit
+
+    def watched(self, n):
+        sent.append((self.count(), n))
+        return limit(self, n)
+
+    monkeypatch.setattr(type(docs), "limit", watched)
+    forest = rf.train(docs, labels)
+    sent = [x for x in sent if x[1] > 1]  # first() has a limit of 1
+    assert [n for _, n in sent] == [256, 8] and all(n <= c <= 3 * n + 200 for c, n in sent)
+    assert forest.norm == rf._expected(256)
