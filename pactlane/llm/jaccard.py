@@ -23,8 +23,8 @@ SAMPLE_DOCS, COMMON, COMMON_LEAST = 10_000, 20_000, 3
 #: Texts of one shingle that a task compares at once (longer lists are compared block by block), and pairs that a worker makes at once.
 LIST_ROWS, BLOCK = 2_000, 1 << 20
 
-#: Shingles a bin of a sketch holds on average, at most.
-BIN = 16
+#: Bytes of a sketch that travels with the rows of a list, at most; wider ones are folded.
+WIDEST = 512
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,22 +67,38 @@ def signature(s: np.ndarray) -> np.uint64:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """How many shingles fall in each of a power of two of bins (by their low bits), a byte each; empty if a bin overflows."""
+    """Whether the number of shingles in each bin (by their low bits) is odd, a bit each; at least as many bins as shingles. Empty for no shingle."""
     if not len(s):
         return b""
-    bins = 1 << max(4, int(len(s) // BIN).bit_length())
+    bins = 1 << max(6, len(s).bit_length())
     n = np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
-    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+    return np.packbits((n & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(x: bytes, size: int) -> np.ndarray:
+    """The sketch of the same set in as many bytes at most, as 64-bit words."""
+    words = np.frombuffer(x, np.uint64)
+    return np.bitwise_xor.reduce(words.reshape(-1, size // 8), axis=0) if len(x) > size else words
+
+
+def least_apart(sketches: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lower bound, from the sketches, of the shingles that only one of the sets i and j holds, for each pair of places."""
+    size = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    narrow = np.minimum(size[i], size[j])
+    out = np.zeros(len(i), np.int64)
+    for w in np.unique(narrow[narrow > 0]).tolist():
+        at = np.flatnonzero(narrow == w)
+        rows, code = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        bits = np.stack([folded(sketches[r], w) for r in rows.tolist()])
+        a, b = code[: len(at)], code[len(at) :]
+        for k in range(0, len(at), step := max(1, (4 << 20) // w)):
+            out[at[k : k + step]] = np.bitwise_count(bits[a[k : k + step]] ^ bits[b[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return out
 
 
-def most_shared(x: bytes, y: bytes) -> int | None:
-    """Upper bound of the shingles two sets share, from their sketches; None if there is none."""
-    if not x or not y:
-        return None
-    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
-    if len(a) < len(b):
-        a, b = b, a
-    return int(np.minimum(a.reshape(-1, len(b)).sum(axis=0), b).sum())
+def _reachable(apart: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets of both shingles together, of which at least apart are in one only, may have the similarity."""
+    return (both - apart) * (NUM + DEN) >= 2 * NUM * both
 
 
 def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray] | tuple[()]) -> np.ndarray:
@@ -213,25 +229,36 @@ def _runs(group: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, p
             yield order[i[ok]], order[j[ok]]
 
 
-def _across(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of signatures of different components that the prefix filter can't tell apart.
+def _across(lists: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of signatures of different components that neither the prefix filter nor their sketches can tell apart.
 
     Lists of one component are done. A list of more than LIST_ROWS texts is cut into blocks, and each
-    two blocks of it are compared on their own.
+    two blocks of it are compared on their own. Rows of the other lists carry their sketches, so that
+    the pairs of a passage that many texts share are ruled out where they are made: what is written
+    and moved follows the rows of the lists, not their pairs.
     """
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("sig"), pa.array([folded(x, WIDEST).tobytes() for x in b.column("sketch").to_pylist()], pa.binary())], ["sig", "sketch"])
+
     rooted = lists.select("key", "n", "sig", "pos").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     rooted = written(rooted, "lists")
     spread = rooted.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("one"), F.max("root").alias("other")).where("one != other")
     total = rooted.count()
     open_ = spread.select("key", F.ceil(F.col("rows") / LIST_ROWS).cast("int").alias("blocks"), (F.col("rows") * HOT_PARTS > total).alias("hot"))
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sig"), F.col("blocks"))).otherwise(0).cast("int")
-    met = lookup(rooted, open_, "key", "hot").withColumn("part", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cells = met.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "n", "sig", "pos", "root", "part")
+    sketches = nodes.where("n > 0").select("sig", "sketch").mapInArrow(small, "sig bigint, sketch binary")
+    met = lookup(rooted, open_, "key", "hot").join(sketches, "sig").withColumn("part", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = met.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "n", "sig", "pos", "root", "part", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in grouped(batches, ["key", "a", "b"]):
             n, sig, pos, root, part, a, b = (t.column(c).to_numpy() for c in ("n", "sig", "pos", "root", "part", "a", "b"))
+            sketches = t.column("sketch").to_pylist()
             for i, j in _runs(group, n, pos, root, np.where(a == b, -1, part)):
+                near = _reachable(least_apart(sketches, i, j), n[i].astype(np.int64) + n[j])
+                i, j = i[near], j[near]
                 p = np.unique(np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["u", "v"])
 
@@ -243,11 +270,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y, n in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("n").to_pylist()):
-                most = most_shared(x, y)
-                ok.append(most is None or most * (NUM + DEN) >= NUM * n)
-            yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
+            at = np.arange(b.num_rows)
+            apart = least_apart(b.column("x").to_pylist() + b.column("y").to_pylist(), at, at + b.num_rows)
+            yield b.filter(pa.array(_reachable(apart, b.column("n").to_numpy().astype(np.int64)))).select(["u", "v"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
@@ -286,7 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size only; what that and SimHash tie is one component, and only texts of different components are then
     compared with each other, so a group of many near copies costs few pairs. Pairs that size, the place in the order
     and a small sketch allow are verified on all shingles, as 64-bit hashes. Texts of equal sets are one node.
-    Texts of different components that share a shingle in their prefixes and are of like size do make a pair each.
+    Texts of different components that share a shingle in their prefixes and are of like size do have their sketches
+    compared pair by pair, but in memory: only pairs near the similarity are written.
 
     Nulls: a null or wordless text has no shingle and fingerprint 0, by which it is linked; a null id
     stays and never becomes a component id (null only if no id of its component is known). Repeated
@@ -308,7 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = written(_lists(nodes), "postings")
     beside = lists.where(F.col("sig2").isNotNull() & (F.col("sig") != F.col("sig2")) & _allowed(*map(F.col, ("n", "pos", "n2", "pos2")))).select(*_pair("sig", "sig2")).distinct()
     first = components(alike.unionByName(close).unionByName(_verified(written(beside, "neighbours"), source, nodes, words)))
-    more = _verified(written(_across(lists, first), "candidates"), source, nodes, words)
+    more = _verified(written(_across(lists, first, nodes), "candidates"), source, nodes, words)
     roots = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     linked = nodes.select("sig", "least", "rows").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     members = written(linked, "members")
